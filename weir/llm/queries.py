@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from weir.llm import warc
+from weir.llm.lines import drop_repeated_lines
 from weir.llm.minhash import near_duplicates
 
 
@@ -17,9 +20,46 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+with line as (
+    select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i
+    from documents
+), keyed as (
+    select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from line
+), counted as (
+    select key, min(doc_id) as first from keyed where length(key) >= 10 group by key having count(distinct doc_id) > 1
+)
+select doc_id, count(*) as n_lines, count(*) filter (first is not null and first <> doc_id) as n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) order by i) filter (first is null or first = doc_id), '')) as kept_sha256
+from keyed left join counted using (key) group by doc_id
+"""
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+OP10_SQL = """
+with page as (
+    select page_id, coalesce(html, '') as html, strlen(coalesce(html, '')) as bytes, sha1(coalesce(html, '')) as digest from pages
+), best as (
+    select html, max(page_id) as first from page where bytes >= 1000 group by html
+)
+select page_id, cast(bytes as bigint) as payload_bytes, digest as payload_digest,
+    case when first is null or first = page_id then 'response' else 'revisit' end as record_type,
+    case when first <> page_id then first end as refers_to
+from page left join best using (html)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash,)}
+    return {f.__name__: f for f in (op1_minhash, op9_lines, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_lines": OP9_SQL, "op10_warc": OP10_SQL}
