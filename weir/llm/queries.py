@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir.llm import warc
+from weir.llm.fingerprints import edited
 from weir.llm.lines import drop_repeated_lines
 from weir.llm.minhash import near_duplicates
 
@@ -20,6 +21,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -58,7 +63,7 @@ from page left join best using (html)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op9_lines, op10_warc)}
+    return {f.__name__: f for f in (op1_minhash, op2_fingerprint, op9_lines, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
