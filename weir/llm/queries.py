@@ -11,6 +11,7 @@ from weir.llm import warc
 from weir.llm.fingerprints import edited
 from weir.llm.lines import drop_repeated_lines
 from weir.llm.minhash import near_duplicates
+from weir.llm.packing import pack
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,12 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -63,7 +70,7 @@ from page left join best using (html)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_fingerprint, op9_lines, op10_warc)}
+    return {f.__name__: f for f in (op1_minhash, op2_fingerprint, op6_packing, op9_lines, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

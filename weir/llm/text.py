@@ -104,10 +104,10 @@ def _cuts(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def words(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of the texts data[bounds[i]:bounds[i+1]], in pieces: starts, ends and hashes of the lower-cased words."""
+def words(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the texts data[bounds[i]:bounds[i+1]], in pieces: starts, ends and hashes of the words, lower-cased or as they are."""
     for lo, hi in _cuts(data, bounds):
-        part = _LOWER[data[lo:hi]]
+        part = _LOWER[data[lo:hi]] if lower else data[lo:hi]
         space = _SPACE[part]
         edge = np.zeros(hi - lo + 1, bool)
         inner = bounds[np.searchsorted(bounds, lo) : np.searchsorted(bounds, hi, "right")] - lo
@@ -159,6 +159,12 @@ def shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarr
     return mix(runs), owner
 
 
+def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The indices starts[i], ..., starts[i] + lengths[i] - 1 of all i, one after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+
+
 def slices(bounds: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of about ``limit`` bytes together; a longer text stands alone."""
     i, n = 0, len(bounds) - 1
