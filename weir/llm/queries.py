@@ -12,6 +12,7 @@ from weir.llm.fingerprints import edited
 from weir.llm.lines import drop_repeated_lines
 from weir.llm.minhash import near_duplicates
 from weir.llm.packing import pack
+from weir.llm.topk import quantised, top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,26 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), quantised(F.col("embedding")).alias("vector"))
+    return top_k(vectors, vectors.filter("id % 50 = 0"))
+
+
+OP7_SQL = """
+with whole as (
+    select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as double)) as v
+    from embeddings
+    where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)
+), scored as (
+    select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+    from whole q join whole c on q.vec_id <> c.vec_id and len(q.v) = len(c.v)
+    where q.vec_id % 50 = 0
+)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+from scored qualify rank <= 5
+"""
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -77,8 +98,8 @@ from page left join best using (html)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_fingerprint, op3_quality, op6_packing, op9_lines, op10_warc)}
+    return {f.__name__: f for f in (op1_minhash, op2_fingerprint, op3_quality, op6_packing, op7_topk, op9_lines, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_lines": OP9_SQL, "op10_warc": OP10_SQL}
+    return {"op7_topk": OP7_SQL, "op9_lines": OP9_SQL, "op10_warc": OP10_SQL}
