@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm import quality, warc
+from weir.llm import lm, quality, warc
 from weir.llm.fingerprints import edited
 from weir.llm.lines import drop_repeated_lines
 from weir.llm.minhash import near_duplicates
@@ -67,6 +67,13 @@ from scored qualify rank <= 5
 """
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    fold = quality.fold(F.col("id"), 7)
+    model = lm.fit(docs.filter(fold.isNull() | (fold != 2)), F.coalesce(fold == 3, F.lit(False)))
+    return lm.score(docs, model).select(F.col("id").alias("doc_id"), F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -105,7 +112,7 @@ from page left join best using (html)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_fingerprint, op3_quality, op4_suffix, op6_packing, op7_topk, op9_lines, op10_warc)}
+    return {f.__name__: f for f in (op1_minhash, op2_fingerprint, op3_quality, op4_suffix, op6_packing, op7_topk, op8_lm, op9_lines, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
