@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     side = {s: about.select(F.col("id").alias(s), F.col("n").alias(f"{s}_n"), F.col("packed").alias(f"{s}_packed")) for s in "ab"}
     pairs = save(buckets.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct().join(side["b"], "b").join(side["a"], "a").filter(_plausible(how)).select("a", "b"), "pairs")
 
-    sets = save(shingle_sets(texts.join(about.select("id"), "id", "left_semi"), how.words).join(about.select("id", "set_a"), ["id", "set_a"]).select("id", "shingles"), "sets")
+    sets = save(shingle_sets(texts.join(about.select("id").hint("merge"), "id", "left_semi"), how.words).join(about.select("id", "set_a"), ["id", "set_a"]).select("id", "shingles"), "sets")
     stars = save(_confirmed(pairs, sets, how), "stars")
 
     so_far = components(stars)
