@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,44 +22,22 @@ from weir.llm.scratch import save
 
 #: Items of one node of the tree, about; nodes that meet in one of the next level.
 NODE, FAN = 20_000, 8
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 2_000_000
 
 
-class WordIds:
-    """Token ids of words, each tokenized once: a word between ASCII white space has the same ids wherever it stands, as the
-    tokenizer drops white space and none of its steps looks across it."""
+def _word_ids(model: str) -> text.Remembered:
+    """A word between ASCII white space has the same ids wherever it stands, as the tokenizer drops white space and none of its steps
+    looks across it."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-    def __init__(self, model: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_str(model)
+    return text.Remembered(lambda words: [np.array(x.ids, np.uint32) for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)])
 
-        self.tokenizer = Tokenizer.from_str(model)
-        self.clear()
 
-    def clear(self) -> None:
-        self.hashes, self.starts, self.lengths, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+_caches: dict[str, text.Remembered] = {}
 
-    def of(self, hashes: np.ndarray, word: Callable[[int], str]) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids of each distinct hash are in ``self.ids``, and how many; ``word(i)`` is the word of hashes[i]."""
-        if len(self.hashes) > REMEMBERED:
-            self.clear()
-        at = np.searchsorted(self.hashes, hashes)
-        new = np.flatnonzero(~(self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes) if len(self.hashes) else np.ones(len(hashes), bool))
-        if len(new):
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([word(i) for i in new.tolist()], add_special_tokens=False)]
-            lengths = np.array([len(x) for x in found], np.int64)
-            starts = len(self.ids) + np.cumsum(lengths) - lengths
-            self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint32)])
-            self.hashes, self.starts, self.lengths = (np.insert(a, at[new], b) for a, b in ((self.hashes, hashes[new]), (self.starts, starts), (self.lengths, lengths)))
-            at = np.searchsorted(self.hashes, hashes)
-        return self.starts[at], self.lengths[at]
 
-
-_caches: dict[str, WordIds] = {}
-
-
-def token_ids(data: np.ndarray, bounds: np.ndarray, known: WordIds, end: int) -> tuple[np.ndarray, np.ndarray]:
+def token_ids(data: np.ndarray, bounds: np.ndarray, known: text.Remembered, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, each followed by ``end``, and where each text's begin (one more entry at the end)."""
     found = list(text.words(data, bounds, lower=False))
     starts, ends, hashes = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, t) for k, t in enumerate((np.int64, np.int64, np.uint64)))
@@ -107,7 +85,7 @@ def _pieces(docs: DataFrame, model: Broadcast, size: int, slack: int, end: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model.value not in _caches:
             _caches.clear()
-            _caches[model.value] = WordIds(model.value)
+            _caches[model.value] = _word_ids(model.value)
         known, held = _caches[model.value], []
         for batch in batches:
             data, bounds = text.column(batch, "text")

@@ -12,6 +12,7 @@ from weir.llm.fingerprints import edited
 from weir.llm.lines import drop_repeated_lines
 from weir.llm.minhash import near_duplicates
 from weir.llm.packing import pack
+from weir.llm.pieces import encoded
 from weir.llm.repeats import drop_repeats
 from weir.llm.topk import quantised, top_k
 
@@ -41,6 +42,17 @@ def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document the number of ids and the sum of ids by Viterbi and by merges (the library's ids for this file), and the
+    digests of the texts they decode to."""
+    import public_tokenizers
+
+    out = encoded(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), ("viterbi", "bpe"))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: (s * 31 + x) % 2147483647)
+    return out.select("row.doc_id", *[x for m in ("viterbi", "bpe") for x in (F.size(m).cast("bigint").alias(f"{m}_n_ids"), total(m).alias(f"{m}_ids_hash"), digest(f"{m}_text").alias(f"{m}_sha256"))])
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -112,7 +124,7 @@ from page left join best using (html)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_fingerprint, op3_quality, op4_suffix, op6_packing, op7_topk, op8_lm, op9_lines, op10_warc)}
+    return {f.__name__: f for f in (op1_minhash, op2_fingerprint, op3_quality, op4_suffix, op5_sentencepiece, op6_packing, op7_topk, op8_lm, op9_lines, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ inside a character, so bytes and code points give the same words. Nulls count as
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -165,6 +165,32 @@ def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
 
 
+class Remembered:
+    """Ids of words, each encoded once: words are known by their hashes, and forgotten when there are more than ``limit``."""
+
+    def __init__(self, encode: Callable[[list[str]], list], limit: int = 2_000_000):
+        self.encode, self.limit = encode, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.starts, self.lengths, self.ids = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def of(self, hashes: np.ndarray, word: Callable[[int], str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each distinct hash are in ``self.ids``, and how many; ``word(i)`` is the word of hashes[i]."""
+        if len(self.hashes) > self.limit:
+            self.clear()
+        at = np.searchsorted(self.hashes, hashes)
+        new = np.flatnonzero(~(self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes) if len(self.hashes) else np.ones(len(hashes), bool))
+        if len(new):
+            found = self.encode([word(i) for i in new.tolist()])
+            lengths = np.array([len(x) for x in found], np.int64)
+            starts = len(self.ids) + np.cumsum(lengths) - lengths
+            self.ids = np.concatenate([self.ids, np.concatenate(found).astype(np.uint32)])
+            self.hashes, self.starts, self.lengths = (np.insert(a, at[new], b) for a, b in ((self.hashes, hashes[new]), (self.starts, starts), (self.lengths, lengths)))
+            at = np.searchsorted(self.hashes, hashes)
+        return self.starts[at], self.lengths[at]
+
+
 def slices(bounds: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of about ``limit`` bytes together; a longer text stands alone."""
     i, n = 0, len(bounds) - 1
