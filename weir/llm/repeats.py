@@ -270,8 +270,9 @@ def _found(length: int):
     return run
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
-    """One row for each row of ``docs``: row (a struct of its other columns), kept (binary), n_bytes, removed.
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, as_text: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: row (a struct of its other columns), kept (binary), n_bytes, removed. With ``as_text`` kept is a
+    string, without the bytes left of characters that were cut.
 
     Texts are UTF-8 bytes, null ones empty. Each byte is removed that a string of ``length`` bytes covers which also begins earlier:
     in a document with a smaller id, or in the same one before. Overlaps count, strings never cross documents, and all are judged
@@ -320,7 +321,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 kept.append(own[~covered].tobytes() if len(a) else own.tobytes())
                 gone.append([{"start": x, "stop": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(np.diff(bounds)), pa.array(gone, kind)], ["row", "kept", "n_bytes", "removed"])
+            left = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), left, pa.array(np.diff(bounds)), pa.array(gone, kind)], ["row", "kept", "n_bytes", "removed"])
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
-    return joined.mapInArrow(removed, T.StructType([joined.schema["row"], T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("removed", span)]))
+    return joined.mapInArrow(removed, T.StructType([joined.schema["row"], T.StructField("kept", T.StringType() if as_text else T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("removed", span)]))
