@@ -20,7 +20,7 @@ LANES, LEVELS, CELLS = 16, 12, 32
 #: A level with more unequal cells than this is too crowded to count on.
 CROWDED = 22
 #: Documents of one window, about, and windows at most: their bounds are the only rows that reach the driver.
-GROUP, GROUPS = 20_000, 20_000
+GROUP, GROUPS = 2000, 20_000
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -129,7 +129,9 @@ def with_next(docs: DataFrame, id_col: str, carried: list[str], derive: Callable
     cuts = docs.filter(F.col(id_col).isNotNull()).agg(F.percentile_approx(id_col, [k / groups for k in range(1, groups)], 100 * groups)).first()[0] if groups > 1 else []
     cuts = sorted(set(cuts or []))
     bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    group = F.when(F.col(id_col).isNull(), 0).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col(id_col))))
+    halves = F.array(*[F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)]) if cuts else F.array().cast("array<int>")
+    upto = F.aggregate(halves, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.get(bounds, at + step - 1) <= F.col(id_col)), at + step).otherwise(at))
+    group = F.when(F.col(id_col).isNull(), 0).otherwise(upto)
     dealt = docs.withColumn("_group", group.cast("int")).withColumn("_guest", F.lit(0))
     heads = sorted((r["_group"], r["least"], r["nulls"]) for r in dealt.groupBy("_group").agg(F.min(id_col).alias("least"), F.count_if(F.col(id_col).isNull()).alias("nulls")).collect())
     if not heads:

@@ -24,9 +24,14 @@ from weir.llm.scratch import save
 NODE, FAN = 20_000, 8
 
 
+#: Bytes between which words are cut: the tokenizer never looks from a letter to one of these marks or back. Its contractions begin
+#: with an apostrophe, and all its special tokens hold a bar.
+_LETTER, _MARK = (np.isin(np.arange(256), list(x)) for x in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{}~"))
+
+
 def _word_ids(model: str) -> text.Remembered:
-    """A word between ASCII white space has the same ids wherever it stands, as the tokenizer drops white space and none of its steps
-    looks across it."""
+    """A word between ASCII white space has the same ids wherever it stands, as the tokenizer drops white space, lower-cases and looks
+    across none of the cuts. Text with a bar is not lower-cased before, as special tokens are told apart by case."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -39,11 +44,11 @@ _caches: dict[str, text.Remembered] = {}
 
 def token_ids(data: np.ndarray, bounds: np.ndarray, known: text.Remembered, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, each followed by ``end``, and where each text's begin (one more entry at the end)."""
-    found = list(text.words(data, bounds, lower=False))
+    raw = data.tobytes()
+    found = list(text.words(data, bounds, b"|" not in raw, (_LETTER, _MARK)))
     starts, ends, hashes = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, t) for k, t in enumerate((np.int64, np.int64, np.uint64)))
     first = np.searchsorted(starts, bounds)
     distinct, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-    raw = data.tobytes()
     at, lengths = known.of(distinct, lambda i: raw[starts[one[i]] : ends[one[i]]].decode("utf-8", "replace"))
     at, lengths = at[which], lengths[which]
     before = np.concatenate([[0], np.cumsum(lengths)])

@@ -104,8 +104,11 @@ def _cuts(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def words(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of the texts data[bounds[i]:bounds[i+1]], in pieces: starts, ends and hashes of the words, lower-cased or as they are."""
+def words(data: np.ndarray, bounds: np.ndarray, lower: bool = True, apart: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the texts data[bounds[i]:bounds[i+1]], in pieces: starts, ends and hashes of the words, lower-cased or as they are.
+
+    ``apart``: two tables of bytes; words are also cut between a byte of one and a byte of the other.
+    """
     for lo, hi in _cuts(data, bounds):
         part = _LOWER[data[lo:hi]] if lower else data[lo:hi]
         space = _SPACE[part]
@@ -113,6 +116,9 @@ def words(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> Iterator[
         inner = bounds[np.searchsorted(bounds, lo) : np.searchsorted(bounds, hi, "right")] - lo
         edge[inner] = True
         edge[0] = edge[-1] = True
+        if apart:
+            a, b = apart[0][part], apart[1][part]
+            edge[1:-1] |= (a[:-1] & b[1:]) | (b[:-1] & a[1:])
         word = ~space
         first = word.copy()
         first[1:] &= space[:-1] | edge[1:-1]
