@@ -2,54 +2,74 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.operators.relational import Operator
+from weir.operators.relational import Operator, Select
 
 
-def aggregate(groups: list[Column | str], **measures: Column) -> Operator:
-    """Several aggregates over the same groups. Spark pre-aggregates before its shuffle."""
-    return lambda df: df.groupBy(*groups).agg(*[m.alias(n) for n, m in measures.items()])
+@dataclass(frozen=True)
+class Measure:
+    """One aggregate: ``kind`` is sum, count or avg, over different values only where ``distinct``; ``digits`` rounds its result, as a double."""
 
+    kind: str
+    values: tuple[Column, ...] = ()
+    distinct: bool = False
+    digits: int | None = None
 
-def total(x: Column) -> Column:
-    return F.sum(x)
+    def column(self) -> Column:
+        if self.kind == "count":
+            out = F.count_distinct(*self.values) if self.distinct else F.count("*")
+        elif self.kind == "sum":
+            out = (F.sum_distinct if self.distinct else F.sum)(*self.values)
+        else:
+            out = F.avg(*self.values)
+        return self.rounded(out)
 
+    def rounded(self, x: Column) -> Column:
+        return x if self.digits is None else F.round(x, self.digits).cast("double")
 
-def count() -> Column:
-    return F.count("*")
 
+class Aggregate(Operator):
+    """Several aggregates over the same groups. Spark pre-aggregates before its shuffle."""
 
-def average(x: Column) -> Column:
-    return F.avg(x)
+    stateful = True
 
+    def __init__(self, groups: list[Column | str], measures: dict[str, Measure]):
+        self.groups, self.measures = groups, measures
 
-def total_distinct(x: Column) -> Column:
-    """Sum over a group's different values."""
-    return F.sum_distinct(x)
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return df.groupBy(*self.groups).agg(*[m.column().alias(n) for n, m in self.measures.items()])
 
 
-def count_distinct(*xs: Column) -> Column:
-    return F.count_distinct(*xs)
+def aggregate(groups: list[Column | str], **measures: Measure) -> Aggregate:
+    return Aggregate(groups, measures)
 
 
-def partial_average(groups: list[Column | str], x: Column) -> Operator:
-    """Averages in parts (total, n) that ``merge_averages`` brings together."""
-    return lambda df: df.groupBy(*groups).agg(F.sum(x).alias("total"), F.count(x).alias("n"))
+def total(x: Column, digits: int | None = None) -> Measure:
+    return Measure("sum", (x,), digits=digits)
 
 
-def merge_averages(groups: list[str], name: str) -> Operator:
-    return lambda df: df.groupBy(*groups).agg((F.sum("total") / F.sum("n")).alias(name))
+def count() -> Measure:
+    """All rows of a group: nothing is null to the plans, so the count of a column is the same."""
+    return Measure("count")
 
 
-def having(condition: Column | str) -> Operator:
-    """A filter on aggregates."""
-    return lambda df: df.filter(condition)
+def average(x: Column, digits: int | None = None) -> Measure:
+    return Measure("avg", (x,), digits=digits)
 
 
-def count_before_join(facts: DataFrame, key: str, dimension: DataFrame, dimension_key: str, groups: list[str], name: str) -> DataFrame:
-    """count(*) by ``groups`` of ``dimension`` over facts joined with it, the facts being counted by key below the join, so that only a
-    row for each key is shuffled into it."""
-    counted = facts.groupBy(key).agg(F.count("*").alias("_n"))
-    return counted.join(dimension, counted[key] == dimension[dimension_key]).groupBy(*groups).agg(F.sum("_n").alias(name))
+def total_distinct(x: Column, digits: int | None = None) -> Measure:
+    """Sum over a group's different values."""
+    return Measure("sum", (x,), True, digits)
+
+
+def count_distinct(*xs: Column) -> Measure:
+    return Measure("count", xs, True)
+
+
+def having(condition: Column | str) -> Operator:
+    """A filter on aggregates. Over changes it sees an aggregate's old and new rows alike."""
+    return Select(condition)

@@ -46,11 +46,6 @@ def theta_join(left: DataFrame, right: DataFrame, condition: Column, equal: bool
     return region_join(left, right, condition, *grid(left.count(), right.count(), tasks))
 
 
-def with_scalar(df: DataFrame, scalar: DataFrame, name: str) -> DataFrame:
-    """``df`` with the only value of a one-row aggregate beside each row: the row is broadcast, its size is one row by definition."""
-    return df.crossJoin(F.broadcast(scalar.select(F.col(scalar.columns[0]).alias(name))))
-
-
-def with_group_value(df: DataFrame, values: DataFrame, key: str | Column, values_key: str) -> DataFrame:
-    """``df`` with the aggregate of its row's group: a correlated subquery as aggregate and join."""
-    return df.join(values, (F.col(key) if isinstance(key, str) else key) == values[values_key], "inner")
+def with_scalar(df: DataFrame, scalar: DataFrame) -> DataFrame:
+    """``df`` with the columns of a one-row aggregate beside each row: the row is broadcast, its size is one row by definition."""
+    return df.crossJoin(F.broadcast(scalar))

@@ -13,9 +13,10 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from weir.operators import joins
-from weir.operators.relational import Operator, chain
+from weir.operators.relational import Operator, Project, chain
 
 Tables = Mapping[str, DataFrame]
 
@@ -25,7 +26,14 @@ class Component:
 
     operators: tuple[Operator, ...]
 
+    #: The components that this one reads.
+    inputs: tuple[Component, ...] = ()
+
     def rows(self, tables: Tables) -> DataFrame:
+        return self.combined(*[c.over(tables) for c in self.inputs])
+
+    def combined(self, *inputs: DataFrame) -> DataFrame:
+        """This component's rows from its inputs' rows, before its operators."""
         raise NotImplementedError
 
     def over(self, tables: Tables) -> DataFrame:
@@ -50,10 +58,10 @@ class EquiJoin(Component):
     """Two components' rows with equal keys (pairs of columns or expressions)."""
 
     def __init__(self, left: Component, right: Component, on: list[tuple[str | Column, str | Column]], *operators: Operator):
-        self.left, self.right, self.on, self.operators = left, right, on, operators
+        self.inputs, self.on, self.operators = (left, right), on, operators
 
-    def rows(self, tables: Tables) -> DataFrame:
-        return joins.equi_join(self.left.over(tables), self.right.over(tables), self.on)
+    def combined(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        return joins.equi_join(left, right, self.on)
 
 
 @dataclass(frozen=True)
@@ -68,10 +76,9 @@ class ThetaJoin(Component):
     """Two components' rows that meet a condition (None: all pairs), over a grid of regions; without a grid as Spark joins them."""
 
     def __init__(self, left: Component, right: Component, condition: Column | None, regions: Regions | None, *operators: Operator):
-        self.left, self.right, self.condition, self.regions, self.operators = left, right, condition, regions, operators
+        self.inputs, self.condition, self.regions, self.operators = (left, right), condition, regions, operators
 
-    def rows(self, tables: Tables) -> DataFrame:
-        left, right = self.left.over(tables), self.right.over(tables)
+    def combined(self, left: DataFrame, right: DataFrame) -> DataFrame:
         if self.regions:
             return joins.region_join(left, right, self.condition, self.regions.rows, self.regions.columns)
         return left.crossJoin(right) if self.condition is None else left.join(right, self.condition, "inner")
@@ -81,7 +88,17 @@ class Operation(Component):
     """Operators over another component's rows."""
 
     def __init__(self, parent: Component, *operators: Operator):
-        self.parent, self.operators = parent, operators
+        self.inputs, self.operators = (parent,), operators
 
-    def rows(self, tables: Tables) -> DataFrame:
-        return self.parent.over(tables)
+    def combined(self, rows: DataFrame) -> DataFrame:
+        return rows
+
+
+class WithScalar(Component):
+    """Rows beside the only value of another component, as column ``name``: a scalar subquery."""
+
+    def __init__(self, rows: Component, scalar: Component, name: str, *operators: Operator):
+        self.inputs, self.name, self.operators = (rows, scalar.then(Project(F.col(name)))), name, operators
+
+    def combined(self, rows: DataFrame, scalar: DataFrame) -> DataFrame:
+        return joins.with_scalar(rows, scalar)

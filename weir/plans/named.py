@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from weir.functions.scalar import any_of, between, date_sum
-from weir.operators.aggregates import aggregate, average, count, count_before_join, count_distinct, having, total
-from weir.operators.joins import with_group_value, with_scalar
+from weir.operators.aggregates import aggregate, average, count, count_distinct, having, total
 from weir.operators.relational import distinct_on, project, rename, select
-from weir.plans.builder import Component, EquiJoin, Operation, Regions, Source, Tables, ThetaJoin
+from weir.plans.builder import Component, EquiJoin, Operation, Regions, Source, ThetaJoin, WithScalar
+
 
 def _revenue():
     return F.col("l_extendedprice") * (1 - F.col("l_discount"))
@@ -25,7 +25,8 @@ def _date(text: str):
 
 
 def _money(x):
-    return F.round(total(x), 2)
+    """A sum of amounts with up to four decimals, exact in whatever order they are added."""
+    return total(x.cast("decimal(18, 4)"), 4)
 
 
 def hyracks() -> Component:
@@ -47,16 +48,10 @@ def hyracks_in_parts() -> Component:
     return hyracks_sources().then(aggregate(["c_custkey", "c_mktsegment"], part=count())).then(aggregate(["c_mktsegment"], n=total(F.col("part"))))
 
 
-class _CountedBeforeJoin(Component):
-    operators = ()
-
-    def rows(self, tables: Tables):
-        return count_before_join(tables["orders"], "o_custkey", tables["customer"], "c_custkey", ["c_mktsegment"], "n")
-
-
 def hyracks_pre_agg() -> Component:
-    """Orders counted by customer below the join."""
-    return _CountedBeforeJoin()
+    """Orders counted by customer below the join, so that only a row for each customer is shuffled into it."""
+    counted = Source("orders", aggregate(["o_custkey"], part=count()))
+    return EquiJoin(Source("customer", project("c_custkey", "c_mktsegment")), counted, [("c_custkey", "o_custkey")], aggregate(["c_mktsegment"], n=total(F.col("part"))))
 
 
 def hyracks_theta(regions: Regions | None = None) -> Component:
@@ -113,7 +108,7 @@ def q5() -> Component:
 
 
 def q5_average() -> Component:
-    return q5_joined().then(aggregate(["n_name"], revenue=F.round(average(_revenue()), 4)))
+    return q5_joined().then(aggregate(["n_name"], revenue=average(_revenue().cast("decimal(18, 4)"), 4)))
 
 
 def q6() -> Component:
@@ -189,41 +184,21 @@ def _lines_of_parts() -> Component:
     return EquiJoin(Source("lineitem", project("l_partkey", "l_quantity", "l_extendedprice")), _parts(), [("l_partkey", "p_partkey")])
 
 
-class _WithGroupValue(Component):
-    """Rows beside the aggregate of their group."""
-
-    def __init__(self, rows_: Component, values: Component, key, values_key: str, *operators):
-        self.base, self.values, self.key, self.values_key, self.operators = rows_, values, key, values_key, operators
-
-    def rows(self, tables: Tables):
-        return with_group_value(self.base.over(tables), self.values.over(tables), self.key, self.values_key)
-
-
-class _WithScalar(Component):
-    """Rows beside one value."""
-
-    def __init__(self, rows_: Component, scalar: Component, name: str, *operators):
-        self.base, self.scalar, self.name, self.operators = rows_, scalar, name, operators
-
-    def rows(self, tables: Tables):
-        return with_scalar(self.base.over(tables), self.scalar.over(tables), self.name)
-
-
 def _yearly():
-    return F.round(total(F.col("l_extendedprice") / 7), 2)
+    return _money(F.col("l_extendedprice") / 7)
 
 
 def q17() -> Component:
     """Lines of some parts under a fifth of their part's average quantity; the average is cross-multiplied, so ties are exact."""
     usual = Source("lineitem", aggregate([F.col("l_partkey").alias("k")], quantity=total(F.col("l_quantity")), lines=count()))
-    return _WithGroupValue(_lines_of_parts(), usual, "l_partkey", "k", select("5 * l_quantity * lines < quantity"), aggregate([], revenue=_yearly()))
+    return EquiJoin(_lines_of_parts(), usual, [("l_partkey", "k")], select("5 * l_quantity * lines < quantity"), aggregate([], revenue=_yearly()))
 
 
 def q17_in_parts() -> Component:
     """The same, the averages being merged from parts by part and supplier."""
     parts = Source("lineitem", aggregate([F.col("l_partkey").alias("k"), "l_suppkey"], t=total(F.col("l_quantity")), c=count()))
     usual = parts.then(aggregate(["k"], quantity=total(F.col("t")), lines=total(F.col("c"))))
-    return _WithGroupValue(_lines_of_parts(), usual, "l_partkey", "k", select("5 * l_quantity * lines < quantity"), aggregate([], revenue=_yearly()))
+    return EquiJoin(_lines_of_parts(), usual, [("l_partkey", "k")], select("5 * l_quantity * lines < quantity"), aggregate([], revenue=_yearly()))
 
 
 def q17_constant() -> Component:
@@ -246,8 +221,8 @@ def q18_constant() -> Component:
 
 
 def q20() -> Component:
-    half = Source("lineitem", select(between(F.col("l_shipdate"), _date("1996-01-01"), _date("1999-01-01"), include_high=False)), aggregate(["l_partkey", "l_suppkey"], half=0.5 * total(F.col("l_quantity"))))
-    enough = EquiJoin(half, Source("part", select(F.col("p_name").like("red%")), project("p_partkey", "p_size")), [("l_partkey", "p_partkey")], select("p_size > half"))
+    half = Source("lineitem", select(between(F.col("l_shipdate"), _date("1996-01-01"), _date("1999-01-01"), include_high=False)), aggregate(["l_partkey", "l_suppkey"], quantity=total(F.col("l_quantity"))))
+    enough = EquiJoin(half, Source("part", select(F.col("p_name").like("red%")), project("p_partkey", "p_size")), [("l_partkey", "p_partkey")], select("p_size > 0.5D * quantity"))
     suppliers = EquiJoin(Source("supplier", project("s_name", "s_suppkey", "s_nationkey")), Source("nation", select(F.col("n_name").isin("NATION_2", "NATION_7", "NATION_12")), project("n_nationkey")), [("s_nationkey", "n_nationkey")])
     return EquiJoin(suppliers, enough, [("s_suppkey", "l_suppkey")], project("s_name", "s_suppkey"), distinct_on("s_name", "s_suppkey"))
 
@@ -264,13 +239,13 @@ def _balance():
 
 def q22() -> Component:
     usual = Source("customer", select("c_acctbal > 0"), aggregate([F.col("c_nationkey").alias("k")], usual=average(F.col("c_acctbal"))))
-    return _WithGroupValue(_rich(()), usual, "code", "k", select("c_acctbal > usual"), _balance())
+    return EquiJoin(_rich(()), usual, [("code", "k")], select("c_acctbal > usual"), _balance())
 
 
 def q22_in_parts() -> Component:
     parts = Source("customer", select("c_acctbal > 0"), aggregate([F.col("c_nationkey").alias("k"), "c_mktsegment"], t=total(F.col("c_acctbal")), c=count()))
     usual = parts.then(aggregate(["k"], t=total(F.col("t")), c=total(F.col("c"))), project("k", (F.col("t") / F.col("c")).alias("usual")))
-    return _WithGroupValue(_rich(()), usual, "code", "k", select("c_acctbal > usual"), _balance())
+    return EquiJoin(_rich(()), usual, [("code", "k")], select("c_acctbal > usual"), _balance())
 
 
 def q22_constant() -> Component:
@@ -307,7 +282,7 @@ def theta_multiple() -> Component:
 def nested_first() -> Component:
     """Orders above the average price: a scalar subquery."""
     usual = Source("orders", aggregate([], usual=average(F.col("o_totalprice"))))
-    return _WithScalar(Source("orders", project("o_totalprice")), usual, "usual", select("o_totalprice > usual"), aggregate([], n=count()))
+    return WithScalar(Source("orders", project("o_totalprice")), usual, "usual", select("o_totalprice > usual"), aggregate([], n=count()))
 
 
 def semi_join() -> Component:

@@ -13,7 +13,6 @@ from weir.sources.tables import table
 from weir.streaming import runs
 
 Query = Callable[[SparkSession, str], DataFrame]
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
 
 def _plan(name: str) -> Query:
