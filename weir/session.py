@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -20,6 +21,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="weir-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _temporary(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/weir-{spark.sparkContext.applicationId}"
+
+
+@functools.cache
+def _temporary(application: str) -> str:
+    return tempfile.mkdtemp(prefix="weir-")
