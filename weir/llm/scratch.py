@@ -1,32 +1,18 @@
-"""Intermediate tables in the folder that all executors share.
-
-Spark names that folder in ``spark.checkpoint.dir``. Where the setting is empty (tests, notebooks) a
-temporary folder is set, which only a single-process ``local`` master can share.
-"""
+"""Intermediate tables in the folder that all executors share."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def folder(spark: SparkSession) -> str:
-    """The shared folder of this application, without a trailing slash."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="weir-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/weir-{spark.sparkContext.applicationId}"
+from weir.session import shared_folder
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet and read it back: its lineage ends there, and lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

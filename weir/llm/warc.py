@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm.scratch import folder, partitions, save
+from weir.llm.scratch import partitions, save
+from weir.session import shared_folder
 
 _END = "\r\n"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -192,6 +193,6 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
 
 def round_trip(pages: DataFrame, **how) -> DataFrame:
     """Write ``pages`` to archives in the shared folder and read them back: see ``records`` and ``read``."""
-    path = f"{folder(pages.sparkSession)}/warc-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex[:12]}"
     write(pages, path, **how)
     return read(pages.sparkSession, path)
