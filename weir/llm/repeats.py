@@ -297,8 +297,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     again = every.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key", (F.col("times") > HOT).alias("hot"))
     keys = save(every.join(again.hint("merge"), "key").groupBy("u").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot")), "anchors")
 
-    dealt = told.repartition(n, "u")
-    cut = dealt.join(keys.repartition(n, "u").hint("merge"), "u").select("u", "id", "text", "keys", "hot").mapInArrow(_cut(length), _PART)
+    dealt = told.repartition(n, "u")  # both uses below take all its columns, so that they share one shuffle
+    cut = dealt.join(keys.repartition(n, "u").hint("merge"), "u").select("u", "id", "text", "keys", "hot", "row").mapInArrow(_cut(length), _PART)
     found = cut.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_found(length), "u bigint, id bigint, start bigint, count bigint")
     spans = found.groupBy("u").agg(F.collect_list(F.struct("id", "start", "count")).alias("spans"))
     joined = dealt.join(spans.hint("merge"), "u", "left").select("row", "id", "text", "spans")
