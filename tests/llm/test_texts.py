@@ -61,14 +61,20 @@ def test_quality(spark):
     assert quality.score(docs.filter("false"), quality.learn(docs.filter("false"), spark.read.parquet(f"{SF}/labels.parquet"))).count() == 0
 
 
-def test_pairs_in_linear_time(spark):
-    """The sum-of-squares form equals the sum over all pairs."""
+def test_pairs_in_linear_time():
+    """The machine's score equals the sum over all pairs of a text's features."""
     import numpy as np
 
-    rnd = np.random.default_rng(3)
-    v, x = rnd.normal(size=(6, 4)), rnd.normal(size=6)
-    pairs = sum(v[i] @ v[j] * x[i] * x[j] for i in range(6) for j in range(i))
-    assert math.isclose(pairs, 0.5 * (((v * x[:, None]).sum(0)) ** 2 - ((v * x[:, None]) ** 2).sum(0)).sum())
+    rnd, k = np.random.default_rng(3), len(quality.STATISTICS)
+    size = quality.BUCKETS + k
+    machine = quality.Machine(0.1, rnd.normal(size=size), rnd.normal(size=(size, 3)), np.zeros(k), np.ones(k))
+    index, value, statistics = np.array([3, 70, 900]), np.array([0.5, 0.7, 0.2]), rnd.normal(size=(1, k))
+    x = np.zeros(size)
+    x[index], x[quality.BUCKETS :] = value, np.clip(statistics[0], -4, 4) / np.sqrt(k)
+    on = np.flatnonzero(x)
+    pairs = sum(machine.factors[i] @ machine.factors[j] * x[i] * x[j] for a, i in enumerate(on) for j in on[:a])
+    want = 1 / (1 + math.exp(-(machine.bias + machine.linear @ x + pairs)))
+    assert math.isclose(machine.scores(np.zeros(3, np.int64), index, value, statistics)[0], want, rel_tol=1e-9)
 
 
 def test_pieces(docs, rows):
