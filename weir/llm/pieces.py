@@ -123,7 +123,7 @@ def merges(words: list[str], pieces: Pieces) -> list[np.ndarray]:
         out[ok] = np.where(found >= 0, pieces.scores[found], _DEAD)
         return out
 
-    gains = np.full((n, size + 1), _DEAD)
+    gains, standing = np.full((n, size + 1), _DEAD), np.ones((n, size + 1), bool)
     for cut in range(1, size):
         gains[:, cut] = gain(rows, np.full(n, cut))
     live = rows
@@ -133,20 +133,17 @@ def merges(words: list[str], pieces: Pieces) -> list[np.ndarray]:
         live, cut = live[go], cut[go]
         lo, hi = before[live, cut], after[live, cut]
         after[live, lo], before[live, hi] = hi, lo
-        gains[live, cut] = _DEAD
+        gains[live, cut], standing[live, cut] = _DEAD, False
         for side in (lo, hi):
             inner = (side > 0) & (side < size)
             gains[live[inner], side[inner]] = gain(live[inner], side[inner])
-    out = []
-    for i in range(n):
-        cuts, at = [0], 0
-        while at < size:
-            at = int(after[i, at])
-            cuts.append(at)
-        c = np.array(cuts)
-        with np.errstate(over="ignore"):
-            out.append(pieces.probe(_keyed((prefix[i, c[1:]] - prefix[i, c[:-1]]) * inverse[c[:-1]], np.diff(c))))
-    return out
+    row, cut = np.nonzero(standing)
+    whole = row[1:] == row[:-1]
+    row, lo, hi = row[1:][whole], cut[:-1][whole], cut[1:][whole]
+    with np.errstate(over="ignore"):
+        found = pieces.probe(_keyed((prefix[row, hi] - prefix[row, lo]) * inverse[lo], hi - lo))
+    at = np.searchsorted(row, np.arange(n + 1)).tolist()
+    return [found[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
 
 
 METHODS = {"viterbi": viterbi, "bpe": merges}
@@ -167,8 +164,12 @@ def encode_words(words: list[str], pieces: Pieces, method: str) -> list[np.ndarr
         step = max(1, TOGETHER // (size + 1))
         for lo in range(0, len(group), step):
             own = group[lo : lo + step]
-            for i, found in zip(own, METHODS[method]([words[i] for i in own], pieces), strict=True):
-                out[i] = pieces.ids[found] if (found >= 0).all() else _with_bytes(words[i], found, pieces)
+            each = METHODS[method]([words[i] for i in own], pieces)
+            every = np.concatenate(each)
+            ids, ends = pieces.ids[every], np.cumsum([len(x) for x in each]).tolist()
+            bare = set(np.searchsorted(ends, np.flatnonzero(every < 0), "right").tolist())
+            for k, i in enumerate(own):
+                out[i] = _with_bytes(words[i], each[k], pieces) if k in bare else ids[ends[k] - len(each[k]) : ends[k]]
     return out
 
 
