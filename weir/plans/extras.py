@@ -12,9 +12,11 @@ from weir.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _join(how: str) -> Query:
+def _join(how: str, only: str = "true") -> Query:
+    """Customers, all of them or ``only`` some, and their orders over 250000."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        customers = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select("c_custkey", "c_mktsegment")
+        customers = table(spark, sf_dir, "customer").filter(only).select("c_custkey", "c_mktsegment")
         orders = table(spark, sf_dir, "orders").filter("o_totalprice > 250000").select("o_orderkey", "o_custkey")
         return customers.join(orders, F.col("c_custkey") == F.col("o_custkey"), how)
 
@@ -52,13 +54,20 @@ def event_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("w.start").alias("day"), "event_type", "n", "users")
 
 
+#: Of the first four queries, whose SQL is given: a third of the customers. Those named _all join every customer.
+_THIRD = "c_custkey % 3 = 0"
 _C = "(select c_custkey, c_mktsegment from customer where c_custkey % 3 = 0)"
+_ALL = "(select c_custkey, c_mktsegment from customer)"
 _O = "(select o_orderkey, o_custkey from orders where o_totalprice > 250000)"
 QUERIES: dict[str, Query] = {
-    "left_join": _join("left"),
-    "full_join": _join("full"),
-    "left_semi_join": _join("left_semi"),
-    "left_anti_join": _join("left_anti"),
+    "left_join": _join("left", _THIRD),
+    "full_join": _join("full", _THIRD),
+    "left_semi_join": _join("left_semi", _THIRD),
+    "left_anti_join": _join("left_anti", _THIRD),
+    "left_join_all": _join("left"),
+    "full_join_all": _join("full"),
+    "left_semi_join_all": _join("left_semi"),
+    "left_anti_join_all": _join("left_anti"),
     "ranks": ranks,
     "top_orders": top_orders,
     "set_operations": set_operations,
@@ -70,6 +79,10 @@ ORACLES: dict[str, str] = {
     "full_join": f"select * from {_C} full join {_O} on c_custkey = o_custkey",
     "left_semi_join": f"select * from {_C} semi join {_O} on c_custkey = o_custkey",
     "left_anti_join": f"select * from {_C} anti join {_O} on c_custkey = o_custkey",
+    "left_join_all": f"select * from {_ALL} left join {_O} on c_custkey = o_custkey",
+    "full_join_all": f"select * from {_ALL} full join {_O} on c_custkey = o_custkey",
+    "left_semi_join_all": f"select * from {_ALL} semi join {_O} on c_custkey = o_custkey",
+    "left_anti_join_all": f"select * from {_ALL} anti join {_O} on c_custkey = o_custkey",
     "ranks": """select o_orderkey, o_custkey, o_totalprice, cast(row_number() over w as integer) as place, lag(o_totalprice) over w as before,
 round(sum(o_totalprice) over (partition by o_custkey order by o_totalprice desc, o_orderkey rows unbounded preceding), 2) as running from orders window w as (partition by o_custkey order by o_totalprice desc, o_orderkey)""",
     "top_orders": "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 20",
