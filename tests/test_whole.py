@@ -18,3 +18,13 @@ def test_joins_take_in_every_customer(spark):
     assert full.filter("o_orderkey is not null").count() == large.count() and full.filter("c_custkey is null").count() == 0
     assert not keys(semi, "c_custkey") & keys(anti, "c_custkey") and keys(semi, "c_custkey") | keys(anti, "c_custkey") == every
     assert anti.count() > 0
+
+
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    """Both texts of id 1 have a near copy: one node for the id, all links found, whichever text comes first."""
+    from weir.llm.minhash import near_duplicates
+
+    say = lambda c: " ".join(f"{c}{i}" for i in range(80))
+    rows = [(1, say("a")), (1, say("b")), (2, say("a") + " x"), (3, say("b") + " y"), (4, say("c"))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]

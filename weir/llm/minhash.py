@@ -263,20 +263,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     signed = save(signatures(texts, how), "signatures")
     full = signed.filter("n > 0 and id is not null")
-    classes = full.groupBy("set_a", "set_b", "n").agg(F.min("id").alias("rep"))
-    same = save(full.join(classes, ["set_a", "set_b", "n"]).filter("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b")), "same")
-    nodes = full.join(classes, (full.set_a == classes.set_a) & (full.set_b == classes.set_b) & (full.n == classes.n) & (full.id == classes.rep), "left_semi").dropDuplicates(["id"])
+    found = save(full.groupBy("set_a", "set_b", "n").agg(F.min("id").alias("rep")), "classes")
+    # a node is a class of equal sets, not an id: one id may stand on several texts; numbers follow the classes' smallest ids
+    classes = save(found.orderBy("rep", "set_a", "set_b", "n").withColumn("class", F.monotonically_increasing_id()), "numbered")
+    of = full.join(classes, ["set_a", "set_b", "n"])
+    same = save(of.filter("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b")), "same")
+    nodes = of.filter("id = rep").drop("id").withColumnRenamed("class", "id").dropDuplicates(["id"])
 
     placed = nodes.select("id", F.explode("keys").alias("key"))
     hubs = placed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1").drop("size")
     buckets = save(placed.join(hubs, "key").filter("id != hub"), "buckets")
 
     ids = buckets.select(F.explode(F.array("id", "hub")).alias("id")).distinct()
-    about = save(nodes.join(ids, "id", "left_semi").select("id", "n", "set_a", "packed"), "about")
+    about = save(nodes.join(ids, "id", "left_semi").select("id", "rep", "n", "set_a", "packed"), "about")
     side = {s: about.select(F.col("id").alias(s), F.col("n").alias(f"{s}_n"), F.col("packed").alias(f"{s}_packed")) for s in "ab"}
     pairs = save(buckets.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct().join(side["b"], "b").join(side["a"], "a").filter(_plausible(how)).select("a", "b"), "pairs")
 
-    sets = save(shingle_sets(texts.join(about.select("id").hint("merge"), "id", "left_semi"), how.words).join(about.select("id", "set_a"), ["id", "set_a"]).select("id", "shingles"), "sets")
+    reps = about.select(F.col("rep").alias("id")).hint("merge")
+    texts_of = shingle_sets(texts.join(reps, "id", "left_semi"), how.words).withColumnRenamed("id", "rep")
+    sets = save(texts_of.join(about.select("id", "rep", "set_a"), ["rep", "set_a"]).select("id", "shingles"), "sets")
     stars = save(_confirmed(pairs, sets, how), "stars")
 
     so_far = components(stars)
@@ -288,7 +293,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = rest.select("id", "component").distinct().join(clusters, F.col("id") == F.col("node")).select(clusters.component.alias("cluster"), "id", rest.component.alias("component"))
     links = save(_rest(members.join(about, "id").join(sets, "id").select("cluster", "id", "component", "n", "packed", "shingles"), how), "links")
 
-    named = components(same.union(stars).union(links))
+    rep = {s: classes.select(F.col("class").alias(s), F.col("rep").alias(f"{s}_rep")) for s in "ab"}
+    between = stars.union(links).join(rep["a"], "a").join(rep["b"], "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+    named = components(same.union(between))
     out = signed.join(named, signed.id == named.node, "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
     )
