@@ -67,5 +67,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The first stage is a trained classifier, which SQL can't express; tests hold every stage against brute force.
+#: The first stage is a trained classifier, which SQL can't express. Tests hold the operators of lines, near duplicates and passages
+#: against brute force, but not the stages: of these they check columns, ids, row counts and n_chars only.
 ORACLE_SQL = None
