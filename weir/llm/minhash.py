@@ -2,9 +2,11 @@
 
 Plan. One pass hashes every text's distinct word shingles to a set size, a 128-bit set hash, band keys (hashes of runs of
 minima) and a packed signature that keeps the low ``bits`` of every minimum. Equal sets become one node. Nodes that share a
-band key are compared with the key's smallest node first: the packed signatures' agreement, corrected for chance collisions,
-drops hopeless pairs, and the rest is counted on the full sets. What these stars leave unconnected inside a key is compared
-in tiles of bounded size, which return only a spanning forest. No pairs of a group are ever listed as rows.
+band key are compared with the key's smallest node first: the similarity estimated from the packed signatures, corrected for chance
+collisions, drops hopeless pairs, and the rest is counted on the full sets. Where these stars leave a key's nodes in several
+components, nodes of different components that share a second such key as well are compared inside the key, in tiles of bounded
+size, which return only a spanning forest. Texts that share a key by chance, as those with a common header do, hardly ever share a
+second one, so they aren't compared however many they are. No pairs of a group are ever listed as rows.
 """
 
 from __future__ import annotations
@@ -27,18 +29,19 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class MinHash:
-    """words: shingle length. percent: least similarity. bands x rows minima: a pair at 75 % shares no band with probability
-    (1 - 0.75 ** rows) ** bands, 5e-6 as set. bits: kept of each minimum. deviations: standard deviations that an estimate may lie
-    under ``percent`` before its pair is dropped uncounted. tile: shingles in one side of a tile; fan: pairs of one hub in a task.
+    """words: shingle length. percent: least similarity. bands x rows minima: two nodes are compared if they share two band keys, or one
+    with a key's smallest node. As set, a pair at 75 % shares none of 64 keys with probability 4e-6 and less than two with 5e-5. bits:
+    kept of each minimum. deviations: standard deviations that an estimate may lie under ``percent`` before its pair is dropped
+    uncounted. tile: shingles in one side of a tile; fan: pairs of one hub in a task.
     """
 
     words: int = 5
     percent: int = 75
-    bands: int = 32
-    rows: int = 4
+    bands: int = 64
+    rows: int = 6
     bits: int = 2
     deviations: float = 6.0
-    tile: int = 1_000_000
+    tile: int = 250_000
     fan: int = 2000
 
     @property
@@ -46,16 +49,16 @@ class MinHash:
         return self.bands * self.rows
 
     def estimate(self, agreeing):
-        """Similarity from the number of agreeing b-bit values: unequal minima agree by chance once in 2 ** bits."""
+        """Similarity from the number of agreeing b-bit values (numbers, arrays or columns): unequal minima agree by chance once in
+        2 ** bits."""
         chance = 2.0**-self.bits
         return (agreeing / self.minima - chance) / (1 - chance)
 
     @property
-    def least_agreeing(self) -> int:
-        """The number of agreeing values under which a pair at ``percent`` practically never falls."""
-        chance, j = 2.0**-self.bits, self.percent / 100
-        p = j + (1 - j) * chance
-        return max(0, math.floor(self.minima * p - self.deviations * math.sqrt(self.minima * p * (1 - p))))
+    def least(self) -> float:
+        """The estimate under which a pair at ``percent`` practically never falls."""
+        p = self.percent / 100 + (1 - self.percent / 100) * 2.0**-self.bits
+        return self.estimate(self.minima * p - self.deviations * math.sqrt(self.minima * p * (1 - p)))
 
 
 def _minima(runs: np.ndarray, starts: np.ndarray, how: MinHash) -> np.ndarray:
@@ -164,7 +167,7 @@ def _plausible(how: MinHash):
         for i in range(1, how.bits):
             x = x.bitwiseOR(F.shiftrightunsigned(F.get("a_packed", F.lit(k)).bitwiseXOR(F.get("b_packed", F.lit(k))), i))
         unequal = unequal + F.bit_count(x.bitwiseAND(F.lit(low).cast("bigint")))
-    return (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * how.percent) & (F.lit(how.minima) - unequal >= how.least_agreeing)
+    return (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * how.percent) & (how.estimate(F.lit(how.minima) - unequal) >= how.least)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, how: MinHash) -> DataFrame:
@@ -216,31 +219,43 @@ def _forest(rows: list[tuple], same: bool, how: MinHash) -> list[tuple[int, int]
         y = x.copy()
         for k in range(1, how.bits):
             y |= x >> _U(k)
-        agreeing = how.minima - np.bitwise_count(y & low).sum(axis=1, dtype=np.int64)
-        order = np.argsort(-agreeing, kind="stable")
-        for j in others[order[agreeing[order] >= how.least_agreeing]]:
+        likely = how.estimate(how.minima - np.bitwise_count(y & low).sum(axis=1, dtype=np.int64))
+        order = np.argsort(-likely, kind="stable")
+        for j in others[order[likely[order] >= how.least]]:
             if root(label[i]) != root(label[j]) and _linked(rows[i][4], rows[j][4], how.percent):
                 parent[root(label[i])] = root(label[j])
                 out.append((rows[i][1], rows[j][1]))
     return out
 
 
+def _open(buckets: DataFrame, so_far: DataFrame) -> DataFrame:
+    """(key, id, component): of the nodes of buckets (key, id, hub) those that share two keys with a node of another component, under
+    all such keys but the last. The hubs are left out: they have been compared with all nodes of their keys."""
+    labelled = save(buckets.join(so_far, buckets.id == so_far.node, "left").select("key", "id", F.coalesce("component", "id").alias("component")), "labelled")
+    apart = lambda df, *keys: df.groupBy(*keys).agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").drop("low", "high")
+    split = labelled.join(apart(labelled, "key"), "key", "left_semi")
+    every = split.groupBy("id", "component").agg(F.array_sort(F.collect_set("key")).alias("keys")).filter(F.size("keys") > 1)
+    twos = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.struct(x.alias("key"), y.alias("second")))))
+    pairs = save(every.select("id", "component", F.explode(twos).alias("two")).select("id", "component", "two.*"), "two-keys")
+    return save(pairs.join(apart(pairs, "key", "second"), ["key", "second"], "left_semi").select("key", "id", "component").distinct(), "open")
+
+
 def _rest(members: DataFrame, how: MinHash) -> DataFrame:
-    """Links between components inside clusters. members: (cluster, id, component, n, packed, shingles)."""
-    blocks = members.groupBy("cluster").agg(F.ceil(F.sum("n") / how.tile).cast("int").alias("blocks"))
-    block = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    """Links between components inside keys. members: (key, id, component, n, packed, shingles)."""
+    blocks = members.groupBy("key").agg(F.ceil(F.sum("n") / how.tile).cast("int").alias("blocks"))
+    block = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     tiles = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "component", "packed", "shingles"
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "component", "packed", "shingles"
     )
     n = partitions(members.sparkSession)
-    ordered = tiles.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    ordered = tiles.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, rows, found = None, [], []
         for batch in batches:
             cols = {c: batch.column(k) for k, c in enumerate(batch.schema.names)}
             data, at = text.buffers(cols["shingles"])
-            heads = list(zip(*(cols[c].to_pylist() for c in ("cluster", "i", "j", "side", "id", "component", "packed")), strict=True))
+            heads = list(zip(*(cols[c].to_pylist() for c in ("key", "i", "j", "side", "id", "component", "packed")), strict=True))
             for k, (c, i, j, side, node, component, packed) in enumerate(heads):
                 if (c, i, j) != tile:
                     found += _forest(rows, tile[1] == tile[2], how) if tile else []
@@ -268,30 +283,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = save(found.orderBy("rep", "set_a", "set_b", "n").withColumn("class", F.monotonically_increasing_id()), "numbered")
     of = full.join(classes, ["set_a", "set_b", "n"])
     same = save(of.filter("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b")), "same")
-    nodes = of.filter("id = rep").drop("id").withColumnRenamed("class", "id").dropDuplicates(["id"])
+    nodes = of.filter("id = rep").drop("id").withColumnRenamed("class", "id")
 
     placed = nodes.select("id", F.explode("keys").alias("key"))
-    hubs = placed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    hubs = placed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last").drop("last")
     buckets = save(placed.join(hubs, "key").filter("id != hub"), "buckets")
 
     ids = buckets.select(F.explode(F.array("id", "hub")).alias("id")).distinct()
-    about = save(nodes.join(ids, "id", "left_semi").select("id", "rep", "n", "set_a", "packed"), "about")
+    about = save(nodes.join(ids, "id", "left_semi").select("id", "rep", "n", "set_a", "packed").dropDuplicates(["id"]), "about")  # rows may repeat
     side = {s: about.select(F.col("id").alias(s), F.col("n").alias(f"{s}_n"), F.col("packed").alias(f"{s}_packed")) for s in "ab"}
     pairs = save(buckets.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct().join(side["b"], "b").join(side["a"], "a").filter(_plausible(how)).select("a", "b"), "pairs")
 
     reps = about.select(F.col("rep").alias("id")).hint("merge")
     texts_of = shingle_sets(texts.join(reps, "id", "left_semi"), how.words).withColumnRenamed("id", "rep")
-    sets = save(texts_of.join(about.select("id", "rep", "set_a"), ["rep", "set_a"]).select("id", "shingles"), "sets")
+    sets = save(texts_of.join(about.select("id", "rep", "set_a"), ["rep", "set_a"]).select("id", "shingles").dropDuplicates(["id"]), "sets")
     stars = save(_confirmed(pairs, sets, how), "stars")
-
-    so_far = components(stars)
-    labelled = save(buckets.join(so_far, buckets.id == so_far.node, "left").select("key", "id", F.coalesce("component", "id").alias("component")), "labelled")
-    split = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("least")).filter("low < high")
-    rest = save(labelled.join(split.select("key", "least"), "key").select("id", "component", "least").distinct(), "rest")
-    # a key whose other nodes are all in one component has no more to tell; the others' keys are joined to clusters, which hold every pair left
-    clusters = components(rest.select(F.col("least").alias("a"), F.col("id").alias("b")))
-    members = rest.select("id", "component").distinct().join(clusters, F.col("id") == F.col("node")).select(clusters.component.alias("cluster"), "id", rest.component.alias("component"))
-    links = save(_rest(members.join(about, "id").join(sets, "id").select("cluster", "id", "component", "n", "packed", "shingles"), how), "links")
+    members = _open(buckets, components(stars))
+    links = save(_rest(members.join(about.select("id", "n", "packed"), "id").join(sets, "id"), how), "links")
 
     rep = {s: classes.select(F.col("class").alias(s), F.col("rep").alias(f"{s}_rep")) for s in "ab"}
     between = stars.union(links).join(rep["a"], "a").join(rep["b"], "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
