@@ -4,8 +4,8 @@ Plan. One pass hashes every text's distinct word shingles to a set size, a 128-b
 minima) and a packed signature that keeps the low ``bits`` of every minimum. Equal sets become one node. Nodes that share a
 band key are compared with the key's smallest node first: the similarity estimated from the packed signatures, corrected for chance
 collisions, drops hopeless pairs, and the rest is counted on the full sets. Where these stars leave a key's nodes in several
-components, nodes of different components that share a second such key as well are compared inside the key, in tiles of bounded
-size, which return only a spanning forest. Texts that share a key by chance, as those with a common header do, hardly ever share a
+components, the node with the most links is the key's next hub. Where it still has several, nodes of different components that
+share a second such key as well are compared inside the key, in tiles of bounded size, which return only a spanning forest. Texts that share a key by chance, as those with a common header do, hardly ever share a
 second one, so they aren't compared however many they are. No pairs of a group are ever listed as rows.
 """
 
@@ -30,7 +30,7 @@ _U = np.uint64
 @dataclass(frozen=True)
 class MinHash:
     """words: shingle length. percent: least similarity. bands x rows minima: two nodes are compared if they share two band keys, or one
-    with a key's smallest node. As set, a pair at 75 % shares none of 64 keys with probability 4e-6 and less than two with 5e-5. bits:
+    with a hub. As set, a pair at 75 % shares none of 64 keys with probability 4e-6 and less than two with 5e-5. bits:
     kept of each minimum. deviations: standard deviations that an estimate may lie under ``percent`` before its pair is dropped
     uncounted. tile: shingles in one side of a tile; fan: pairs of one hub in a task.
     """
@@ -228,16 +228,33 @@ def _forest(rows: list[tuple], same: bool, how: MinHash) -> list[tuple[int, int]
     return out
 
 
-def _open(buckets: DataFrame, so_far: DataFrame) -> DataFrame:
-    """(key, id, component): of the nodes of buckets (key, id, hub) those that share two keys with a node of another component, under
-    all such keys but the last. The hubs are left out: they have been compared with all nodes of their keys."""
-    labelled = save(buckets.join(so_far, buckets.id == so_far.node, "left").select("key", "id", F.coalesce("component", "id").alias("component")), "labelled")
-    apart = lambda df, *keys: df.groupBy(*keys).agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").drop("low", "high")
-    split = labelled.join(apart(labelled, "key"), "key", "left_semi")
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, id, component) of the rows (key, id) whose keys have nodes of different components under ``links``."""
+    so_far = components(links)
+    labelled = save(rows.join(so_far, rows.id == so_far.node, "left").select("key", "id", F.coalesce("component", "id").alias("component")), "labelled")
+    return labelled.join(_apart(labelled, "key"), "key", "left_semi")
+
+
+def _apart(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").drop("low", "high")
+
+
+def _next_hubs(split: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, id, component, hub, hub_component): under each key the node with the most links so far, the smallest of equals, is its hub. A text that
+    the others are copies of has links with the hubs of all its keys, so that it is found even if the others aren't alike."""
+    degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    known = split.join(degrees, "id", "left").withColumn("place", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), (-F.col("id")).alias("low"), "component"))
+    hubs = known.groupBy("key").agg(F.max("place").alias("place"))
+    return split.join(hubs, "key").select("key", "id", "component", (-F.col("place.low")).alias("hub"), F.col("place.component").alias("hub_component")).filter("id != hub")
+
+
+def _open(split: DataFrame) -> DataFrame:
+    """(key, id, component): of the nodes in ``split`` those that share two keys with a node of another component, under all such keys but
+    the last."""
     every = split.groupBy("id", "component").agg(F.array_sort(F.collect_set("key")).alias("keys")).filter(F.size("keys") > 1)
     twos = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.struct(x.alias("key"), y.alias("second")))))
     pairs = save(every.select("id", "component", F.explode(twos).alias("two")).select("id", "component", "two.*"), "two-keys")
-    return save(pairs.join(apart(pairs, "key", "second"), ["key", "second"], "left_semi").select("key", "id", "component").distinct(), "open")
+    return save(pairs.join(_apart(pairs, "key", "second"), ["key", "second"], "left_semi").select("key", "id", "component").distinct(), "open")
 
 
 def _rest(members: DataFrame, how: MinHash) -> DataFrame:
@@ -292,17 +309,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = buckets.select(F.explode(F.array("id", "hub")).alias("id")).distinct()
     about = save(nodes.join(ids, "id", "left_semi").select("id", "rep", "n", "set_a", "packed").dropDuplicates(["id"]), "about")  # rows may repeat
     side = {s: about.select(F.col("id").alias(s), F.col("n").alias(f"{s}_n"), F.col("packed").alias(f"{s}_packed")) for s in "ab"}
-    pairs = save(buckets.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct().join(side["b"], "b").join(side["a"], "a").filter(_plausible(how)).select("a", "b"), "pairs")
-
     reps = about.select(F.col("rep").alias("id")).hint("merge")
     texts_of = shingle_sets(texts.join(reps, "id", "left_semi"), how.words).withColumnRenamed("id", "rep")
     sets = save(texts_of.join(about.select("id", "rep", "set_a"), ["rep", "set_a"]).select("id", "shingles").dropDuplicates(["id"]), "sets")
-    stars = save(_confirmed(pairs, sets, how), "stars")
-    members = _open(buckets, components(stars))
-    links = save(_rest(members.join(about.select("id", "n", "packed"), "id").join(sets, "id"), how), "links")
+
+    def stars(met: DataFrame) -> DataFrame:
+        pairs = met.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct().join(side["b"], "b").join(side["a"], "a")
+        return save(_confirmed(save(pairs.filter(_plausible(how)).select("a", "b"), "pairs"), sets, how), "stars")
+
+    first = stars(buckets)
+    again = save(_next_hubs(_labelled(buckets.select("key", "id"), first), first), "next-hubs")
+    links = first.union(stars(again.filter("component != hub_component")))
+    members = _open(_labelled(again.select("key", "id"), links))
+    links = links.union(save(_rest(members.join(about.select("id", "n", "packed"), "id").join(sets, "id"), how), "links"))
 
     rep = {s: classes.select(F.col("class").alias(s), F.col("rep").alias(f"{s}_rep")) for s in "ab"}
-    between = stars.union(links).join(rep["a"], "a").join(rep["b"], "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+    between = links.join(rep["a"], "a").join(rep["b"], "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
     named = components(same.union(between))
     out = signed.join(named, signed.id == named.node, "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
