@@ -37,13 +37,24 @@ def region_join(left: DataFrame, right: DataFrame, condition: Column | None, row
     return out if keep_region else out.drop("_region")
 
 
-def theta_join(left: DataFrame, right: DataFrame, condition: Column, equal: bool, tasks: int | None = None) -> DataFrame:
+def theta_join(left: DataFrame, right: DataFrame, condition: Column, equal: bool, tasks: int | None = None, sizes: tuple[int, int] = (1, 1)) -> DataFrame:
     """Inner join on any condition. ``equal`` says that it holds an equality between the sides: then Spark's own join shuffles by it and
-    checks the rest on the pairs found. Otherwise the grid deals both sides, each row to about the root of ``tasks`` regions."""
+    checks the rest on the pairs found. Otherwise the grid deals both sides, each row to about the root of ``tasks`` regions. ``sizes``:
+    rows of both sides, where they are known, for the grid's shape; the inputs are not run to count them."""
     if equal:
         return left.join(right, condition, "inner")
     tasks = tasks or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return region_join(left, right, condition, *grid(left.count(), right.count(), tasks))
+    return region_join(left, right, condition, *grid(*sizes, tasks))
+
+
+def band_join(left: DataFrame, right: DataFrame, left_value: Column, right_value: Column, width: float) -> DataFrame:
+    """Inner join of rows whose values are at most ``width`` apart (more than 0). Values fall into ranges of that width; a left row goes
+    to its own range and both beside it, a right row to its own, and only pairs that share a range are tested. Nulls meet nothing. The
+    equality on the range lets Spark shuffle by it, split a range that holds many rows, and join streams so too."""
+    range_ = lambda x: F.floor(x / F.lit(width)).cast("bigint")
+    a = left.withColumn("_range", F.explode(F.when(left_value.isNotNull(), F.sequence(range_(left_value) - 1, range_(left_value) + 1))))
+    b = right.withColumn("_range_r", range_(right_value))
+    return a.join(b, (F.col("_range") == F.col("_range_r")) & (F.abs(left_value - right_value) <= F.lit(width)), "inner").drop("_range", "_range_r")
 
 
 def with_scalar(df: DataFrame, scalar: DataFrame) -> DataFrame:

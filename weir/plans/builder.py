@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir.operators import joins
@@ -66,10 +66,17 @@ class EquiJoin(Component):
 
 @dataclass(frozen=True)
 class Regions:
-    """The grid of a theta join."""
+    """The grid of a theta join; without numbers as many regions as the session has shuffle partitions, in a shape for inputs of
+    ``sizes`` (rows on the left and on the right, as a catalog declares them), or as near to a square as can be."""
 
-    rows: int
-    columns: int
+    rows: int | None = None
+    columns: int | None = None
+    sizes: tuple[int, int] = (1, 1)
+
+    def shape(self, spark: SparkSession) -> tuple[int, int]:
+        if self.rows and self.columns:
+            return self.rows, self.columns
+        return joins.grid(*self.sizes, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 class ThetaJoin(Component):
@@ -80,10 +87,20 @@ class ThetaJoin(Component):
 
     def combined(self, left: DataFrame, right: DataFrame) -> DataFrame:
         if self.regions:
-            return joins.region_join(left, right, self.condition, self.regions.rows, self.regions.columns)
+            return joins.region_join(left, right, self.condition, *self.regions.shape(left.sparkSession))
         return left.crossJoin(right) if self.condition is None else left.join(right, self.condition, "inner")
 
 
+class BandJoin(Component):
+    """Two components' rows whose values are at most ``width`` apart."""
+
+    def __init__(self, left: Component, right: Component, left_value: Column, right_value: Column, width: float, *operators: Operator):
+        self.inputs, self.values, self.width, self.operators = (left, right), (left_value, right_value), width, operators
+
+    def combined(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        return joins.band_join(left, right, *self.values, self.width)
+
+
 class Operation(Component):
     """Operators over another component's rows."""
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from weir.functions.scalar import any_of, between, date_sum
 from weir.operators.aggregates import aggregate, average, count, count_distinct, having, total
 from weir.operators.relational import distinct_on, project, rename, select
-from weir.plans.builder import Component, EquiJoin, Operation, Regions, Source, ThetaJoin, WithScalar
+from weir.plans.builder import BandJoin, Component, EquiJoin, Operation, Regions, Source, ThetaJoin, WithScalar
 
 
 def _revenue():
@@ -85,11 +85,10 @@ def q3() -> Component:
 
 
 def q4() -> Component:
-    """Orders of a quarter with a line shipped late, by priority; late lines' orders are made distinct before they meet the orders."""
-    placed = Source("orders", project(F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("placed")))
-    late = EquiJoin(Source("lineitem", project("l_orderkey", "l_shipdate")), placed, [("l_orderkey", "key")], select(F.to_date("l_shipdate") > date_sum(F.col("placed").cast("date"), "day", 60)), project("l_orderkey"), distinct_on("l_orderkey"))
-    quarter = Source("orders", select(between(F.col("o_orderdate"), _date("1996-07-01"), _date("1996-10-01"), include_high=False)), project("o_orderkey", "o_orderpriority"))
-    return EquiJoin(quarter, late, [("o_orderkey", "l_orderkey")], aggregate(["o_orderpriority"], n=count()))
+    """Orders of a quarter with a line shipped late, by priority; lines meet the quarter's orders only, and once."""
+    quarter = Source("orders", select(between(F.col("o_orderdate"), _date("1996-07-01"), _date("1996-10-01"), include_high=False)), project("o_orderkey", "o_orderpriority", "o_orderdate"))
+    late = select(F.to_date("l_shipdate") > date_sum(F.col("o_orderdate").cast("date"), "day", 60))
+    return EquiJoin(Source("lineitem", project("l_orderkey", "l_shipdate")), quarter, [("l_orderkey", "o_orderkey")], late, project("o_orderkey", "o_orderpriority"), distinct_on("o_orderkey", "o_orderpriority"), aggregate(["o_orderpriority"], n=count()))
 
 
 def q5_joined() -> Component:
@@ -136,8 +135,8 @@ def q7() -> Component:
 
 
 def q7_theta() -> Component:
-    """The same through grids of regions."""
-    return _q7(lambda a, b, on, *operators: ThetaJoin(a, b, on, Regions(2, 2), *operators))
+    """The same plan: conditions that hold an equality need no grid, Spark finds it and shuffles by it."""
+    return q7()
 
 
 def q8() -> Component:
@@ -181,7 +180,7 @@ def _parts():
 
 
 def _lines_of_parts() -> Component:
-    return EquiJoin(Source("lineitem", project("l_partkey", "l_quantity", "l_extendedprice")), _parts(), [("l_partkey", "p_partkey")])
+    return EquiJoin(Source("lineitem", project("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")), _parts(), [("l_partkey", "p_partkey")])
 
 
 def _yearly():
@@ -189,14 +188,15 @@ def _yearly():
 
 
 def q17() -> Component:
-    """Lines of some parts under a fifth of their part's average quantity; the average is cross-multiplied, so ties are exact."""
-    usual = Source("lineitem", aggregate([F.col("l_partkey").alias("k")], quantity=total(F.col("l_quantity")), lines=count()))
+    """Lines of some parts under a fifth of their part's average quantity; the average is cross-multiplied, so ties are exact. Only the
+    lines of those parts are aggregated."""
+    usual = _lines_of_parts().then(aggregate([F.col("l_partkey").alias("k")], quantity=total(F.col("l_quantity")), lines=count()))
     return EquiJoin(_lines_of_parts(), usual, [("l_partkey", "k")], select("5 * l_quantity * lines < quantity"), aggregate([], revenue=_yearly()))
 
 
 def q17_in_parts() -> Component:
     """The same, the averages being merged from parts by part and supplier."""
-    parts = Source("lineitem", aggregate([F.col("l_partkey").alias("k"), "l_suppkey"], t=total(F.col("l_quantity")), c=count()))
+    parts = _lines_of_parts().then(aggregate([F.col("l_partkey").alias("k"), "l_suppkey"], t=total(F.col("l_quantity")), c=count()))
     usual = parts.then(aggregate(["k"], quantity=total(F.col("t")), lines=total(F.col("c"))))
     return EquiJoin(_lines_of_parts(), usual, [("l_partkey", "k")], select("5 * l_quantity * lines < quantity"), aggregate([], revenue=_yearly()))
 
@@ -221,16 +221,18 @@ def q18_constant() -> Component:
 
 
 def q20() -> Component:
-    half = Source("lineitem", select(between(F.col("l_shipdate"), _date("1996-01-01"), _date("1999-01-01"), include_high=False)), aggregate(["l_partkey", "l_suppkey"], quantity=total(F.col("l_quantity"))))
-    enough = EquiJoin(half, Source("part", select(F.col("p_name").like("red%")), project("p_partkey", "p_size")), [("l_partkey", "p_partkey")], select("p_size > 0.5D * quantity"))
+    """Suppliers of some nations with enough of a part whose name begins with red; only those parts' lines are aggregated."""
+    shipped = Source("lineitem", select(between(F.col("l_shipdate"), _date("1996-01-01"), _date("1999-01-01"), include_high=False)), project("l_partkey", "l_suppkey", "l_quantity"))
+    red = Source("part", select(F.col("p_name").like("red%")), project("p_partkey", "p_size"))
+    enough = EquiJoin(shipped, red, [("l_partkey", "p_partkey")], aggregate(["l_partkey", "l_suppkey", "p_size"], quantity=total(F.col("l_quantity"))), having("p_size > 0.5D * quantity"), project("l_suppkey"), distinct_on("l_suppkey"))
     suppliers = EquiJoin(Source("supplier", project("s_name", "s_suppkey", "s_nationkey")), Source("nation", select(F.col("n_name").isin("NATION_2", "NATION_7", "NATION_12")), project("n_nationkey")), [("s_nationkey", "n_nationkey")])
     return EquiJoin(suppliers, enough, [("s_suppkey", "l_suppkey")], project("s_name", "s_suppkey"), distinct_on("s_name", "s_suppkey"))
 
 
 def _rich(operators: tuple) -> Component:
-    """Different (nation, balance) of customers with orders."""
+    """Different (nation, balance) of customers with orders; an order's customer counts once before the join."""
     customers = Source("customer", project("c_custkey", "c_nationkey", "c_acctbal"))
-    return EquiJoin(customers, Source("orders", project("o_custkey")), [("c_custkey", "o_custkey")], project(F.col("c_nationkey").alias("code"), "c_acctbal"), distinct_on("code", "c_acctbal"), *operators)
+    return EquiJoin(customers, Source("orders", project("o_custkey"), distinct_on("o_custkey")), [("c_custkey", "o_custkey")], project(F.col("c_nationkey").alias("code"), "c_acctbal"), distinct_on("code", "c_acctbal"), *operators)
 
 
 def _balance():
@@ -257,20 +259,26 @@ def theta_input_dominated(regions: Regions | None = None) -> Component:
     return ThetaJoin(Source("lineitem", project("l_orderkey", "l_extendedprice", "l_discount")), Source("orders", project("o_orderkey", "o_totalprice")), condition, regions, aggregate([], revenue=_money(_revenue())))
 
 
-def theta_output_dominated(regions: Regions | None = Regions(2, 4)) -> Component:
+def theta_output_dominated(regions: Regions | None = Regions()) -> Component:
     """Suppliers with all nations."""
     return ThetaJoin(Source("supplier", project("s_suppkey")), Source("nation", project("n_nationkey")), None, regions, aggregate([], total=total(F.col("s_suppkey"))))
 
 
-def theta_inequality(regions: Regions | None = Regions(2, 4)) -> Component:
+def theta_inequality(regions: Regions | None = Regions()) -> Component:
     """Pairs of suppliers and nations without any equality between them."""
     return ThetaJoin(Source("supplier", project("s_suppkey", "s_nationkey")), Source("nation", project("n_nationkey")), F.col("s_nationkey") < F.col("n_nationkey"), regions, aggregate(["n_nationkey"], n=count()))
 
 
-def theta_band(regions: Regions | None = Regions(2, 4)) -> Component:
+def theta_band() -> Component:
     """A linear band between two columns."""
-    condition = (10 * F.col("s_nationkey") >= 9 * F.col("n_nationkey") - 5) & (10 * F.col("s_nationkey") <= 9 * F.col("n_nationkey") + 5)
-    return ThetaJoin(Source("supplier", project("s_suppkey", "s_nationkey")), Source("nation", project("n_nationkey")), condition, regions, aggregate(["n_nationkey"], n=count(), total=total(F.col("s_suppkey"))))
+    return BandJoin(Source("supplier", project("s_suppkey", "s_nationkey")), Source("nation", project("n_nationkey")), 10 * F.col("s_nationkey"), 9 * F.col("n_nationkey"), 5, aggregate(["n_nationkey"], n=count(), total=total(F.col("s_suppkey"))))
+
+
+def band_balances() -> Component:
+    """Customers and suppliers whose balances are at most 5 apart, by the supplier's nation: thousands of rows on both sides."""
+    customers = Source("customer", project("c_custkey", "c_acctbal"))
+    suppliers = Source("supplier", project("s_suppkey", "s_nationkey", "s_acctbal"))
+    return BandJoin(customers, suppliers, F.col("c_acctbal").cast("decimal(12, 2)"), F.col("s_acctbal").cast("decimal(12, 2)"), 5, aggregate(["s_nationkey"], n=count(), total=total(F.col("c_custkey"))))
 
 
 def theta_multiple() -> Component:
@@ -323,12 +331,13 @@ PLANS: dict[str, Callable[[], Component]] = {
     "tpch22": q22,
     "tpch22batch": q22_in_parts,
     "tpch22constant": q22_constant,
-    "theta_hyracks": lambda: hyracks_theta(Regions(2, 4)),
+    "theta_hyracks": hyracks_theta,
     "theta_tpch7": q7_theta,
     "theta_input_dominated": theta_input_dominated,
     "theta_output_dominated": theta_output_dominated,
     "theta_inequality": theta_inequality,
     "theta_band": theta_band,
+    "band_balances": band_balances,
     "theta_multiple_join": theta_multiple,
     "nested_first": nested_first,
     "semi_join": semi_join,

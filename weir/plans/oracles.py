@@ -68,6 +68,8 @@ join part on p_partkey = pk where p_name like 'red%' and p_size > half and n_nam
     "theta_inequality": "select n_nationkey, count(*) as n from supplier join nation on s_nationkey < n_nationkey group by 1",
     "theta_band": """select n_nationkey, count(*) as n, cast(sum(s_suppkey) as bigint) as total from supplier join nation
 on 10 * s_nationkey >= 9 * n_nationkey - 5 and 10 * s_nationkey <= 9 * n_nationkey + 5 group by 1""",
+    "band_balances": """select s_nationkey, count(*) as n, cast(sum(c_custkey) as bigint) as total from customer join supplier
+on abs(cast(c_acctbal as decimal(12, 2)) - cast(s_acctbal as decimal(12, 2))) <= 5 group by 1""",
     "theta_multiple_join": f"""select cast(sum(cast({_REVENUE} as decimal(18, 4))) as double) as revenue from lineitem join orders on l_orderkey = o_orderkey and 10 * l_extendedprice < o_totalprice
 join supplier on s_suppkey = l_suppkey join part on p_partkey = l_partkey and p_size > 45""",
     "nested_first": "select count(*) as n from orders where o_totalprice > (select avg(o_totalprice) from orders)",

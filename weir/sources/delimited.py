@@ -3,23 +3,16 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _options(sep: str) -> dict[str, str]:
-    return {"sep": sep, "header": "false", "quote": "", "mode": "FAILFAST", "dateFormat": "yyyy-MM-dd"}
-
-
-def _padded(schema: T.StructType) -> T.StructType:
-    """A closing delimiter reads as one more, empty column, which is dropped."""
-    return T.StructType([*schema.fields, T.StructField("_end", T.StringType())])
-
-
 def read(spark: SparkSession, path: str, schema: T.StructType, sep: str = "|") -> DataFrame:
-    """A table whose lines may end with a delimiter or not. Spark splits large files by itself."""
+    """A table whose lines may end with a delimiter or not; an empty field is null. A line with too few or too many fields fails the
+    query, and so does a field that isn't of its type. Spark splits large files by itself."""
     return _open(spark.read, path, schema, sep)
 
 
@@ -29,13 +22,18 @@ def stream(spark: SparkSession, path: str, schema: T.StructType, sep: str = "|",
 
 
 def _open(reader, path: str, schema: T.StructType, sep: str) -> DataFrame:
-    names = schema.names
-    raw = reader.options(**(_options(sep) | {"mode": "PERMISSIVE"})).schema(T.StructType([T.StructField(n, T.StringType()) for n in _padded(schema).names])).csv(path)
-    return raw.select(*[F.col(n).cast(schema[n].dataType).alias(n) for n in names])
+    n, cut = len(schema), F.split("value", re.escape(sep), -1)
+    whole = (F.size(cut) == n) | ((F.size(cut) == n + 1) & (F.get(cut, F.lit(n)) == ""))
+    fields = F.when(whole, cut).otherwise(F.raise_error(F.concat(F.lit(f"a line hasn't {n} fields: "), F.col("value"))))
+    rows = reader.text(path).select(fields.alias("_fields"))
+    return rows.select(*[F.nullif(F.get("_fields", F.lit(i)), F.lit("")).cast(f.dataType).alias(f.name) for i, f in enumerate(schema)])
 
 
 def write(df: DataFrame, path: str, sep: str = "|") -> None:
-    df.write.options(sep=sep, header="false", quote="").csv(path)
+    """Lines of ``df``'s values; null is an empty field. There is no quoting, so a value with the separator or a line end fails."""
+    text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    sound = lambda x: F.when(x.contains(sep) | x.rlike(r"[\r\n]"), F.raise_error(F.concat(F.lit("a value holds the separator or a line end: "), x))).otherwise(x)
+    df.select(F.concat_ws(sep, *[sound(text(c)) for c in df.columns]).alias("value")).write.text(path)
 
 
 def settings(text: str) -> dict[str, str]:
@@ -59,6 +57,15 @@ def same_results(a: dict, b: dict, within: float = 1e-4) -> bool:
     return a.keys() == b.keys() and all(math.isclose(a[k], b[k], rel_tol=within, abs_tol=within) for k in a)
 
 
+def compared(a: DataFrame, b: DataFrame, value: str, within: float = 1e-4) -> DataFrame:
+    """The keys (all other columns) of two results and whether both have them with values that differ by at most ``within``: the same
+    comparison for results of any size."""
+    keys = [c for c in a.columns if c != value]
+    x, y = (df.select(*keys, F.col(value).cast("double").alias(s)) for df, s in ((a, "_a"), (b, "_b")))
+    near = F.abs(F.col("_a") - F.col("_b")) <= F.greatest(F.lit(within), within * F.greatest(F.abs("_a"), F.abs("_b")))
+    return x.join(y, keys, "full").select(*keys, F.coalesce(near, F.lit(False)).alias("same"))
+
+
 def as_results(df: DataFrame) -> dict[tuple[str, ...], float]:
     """A small final result, the last column being the value, in the form of a result file."""
     return {tuple(str(x) for x in row[:-1]): float(row[-1]) for row in df.collect()}
