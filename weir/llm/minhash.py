@@ -254,13 +254,13 @@ def _open(split: DataFrame) -> DataFrame:
     every = split.groupBy("id", "component").agg(F.array_sort(F.collect_set("key")).alias("keys")).filter(F.size("keys") > 1)
     twos = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.struct(x.alias("key"), y.alias("second")))))
     pairs = save(every.select("id", "component", F.explode(twos).alias("two")).select("id", "component", "two.*"), "two-keys")
-    return save(pairs.join(_apart(pairs, "key", "second"), ["key", "second"], "left_semi").select("key", "id", "component").distinct(), "open")
+    return pairs.join(_apart(pairs, "key", "second"), ["key", "second"], "left_semi").select("key", "id", "component").distinct()
 
 
-def _rest(members: DataFrame, how: MinHash) -> DataFrame:
-    """Links between components inside keys. members: (key, id, component, n, packed, shingles)."""
+def _rest(members: DataFrame, sets: DataFrame, how: MinHash) -> DataFrame:
+    """Links between components inside keys. members: (key, id, component, n, packed); sets: (id, shingles)."""
     blocks = members.groupBy("key").agg(F.ceil(F.sum("n") / how.tile).cast("int").alias("blocks"))
-    block = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    block = members.join(blocks, "key").join(sets, "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     tiles = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "component", "packed", "shingles"
     )
@@ -320,8 +320,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = stars(buckets)
     again = save(_next_hubs(_labelled(buckets.select("key", "id"), first), first), "next-hubs")
     links = first.union(stars(again.filter("component != hub_component")))
-    members = _open(_labelled(again.select("key", "id"), links))
-    links = links.union(save(_rest(members.join(about.select("id", "n", "packed"), "id").join(sets, "id"), how), "links"))
+    members = save(_open(_labelled(again.select("key", "id"), links)).join(about.select("id", "n", "packed"), "id"), "members")
+    links = links.union(save(_rest(members, sets, how), "links"))
 
     rep = {s: classes.select(F.col("class").alias(s), F.col("rep").alias(f"{s}_rep")) for s in "ab"}
     between = links.join(rep["a"], "a").join(rep["b"], "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
