@@ -23,7 +23,7 @@ from weir.llm import text
 from weir.llm.scratch import partitions, save
 
 _U = np.uint64
-#: Bits of an n-gram's hash; text bytes of a block and of a shard; tokens counted at once; context buckets (powers of 2).
+#: Bits of an n-gram's hash (tokens, whose counts are exact by contract, have all 64); text bytes of a block and of a shard; tokens counted at once; context buckets (powers of 2).
 BITS, BLOCK, SHARD, COUNTED, BUCKETS = 48, 1 << 23, 1 << 24, 1 << 21, 16
 _START, _END = (text.mix(np.array([k], _U))[0] for k in (0xB05, 0xE05))
 
@@ -63,9 +63,14 @@ def _decoded(blob: bytes) -> np.ndarray:
     return np.cumsum(_unpacked(blob), dtype=_U)
 
 
-def _cuts(grams: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's range of sorted hashes begins (one more entry at the end)."""
-    return np.searchsorted(grams, np.arange(shards + 1, dtype=_U) * _U((1 << BITS) // shards))
+def _bits(order: int) -> int:
+    return 64 if order == 1 else BITS
+
+
+def _cuts(grams: np.ndarray, order: int, shards: int) -> np.ndarray:
+    """Where each shard's range of sorted hashes begins (one more entry at the end). shards is a power of 2."""
+    inner = np.arange(1, shards, dtype=_U) * _U((1 << _bits(order)) // max(shards, 2))
+    return np.concatenate([[0], np.searchsorted(grams, inner), [len(grams)]])
 
 
 def _grams(data: np.ndarray, bounds: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -85,7 +90,7 @@ def _grams(data: np.ndarray, bounds: np.ndarray, order: int) -> tuple[list[np.nd
             back = np.roll(tokens, m - 1)
             back[at < m - 1] = _START
             out.append(text.mix(out[-1] * _U(0x9FB21C651E98DF25) + back + _U(m)))
-    return [x >> _U(64 - BITS) for x in out], starts
+    return [x >> _U(64 - _bits(m + 1)) for m, x in enumerate(out)], starts
 
 
 def _counted(docs: DataFrame, order: int, shards: int) -> DataFrame:
@@ -95,7 +100,7 @@ def _counted(docs: DataFrame, order: int, shards: int) -> DataFrame:
         rows = []
         for m in range(order):
             grams, counts = np.unique(np.concatenate([p[m] for p in parts]), return_counts=True)
-            cut = _cuts(grams, shards)
+            cut = _cuts(grams, m + 1, shards)
             rows += [(m + 1, s, _coded(grams[i:j]), _packed(counts[i:j].astype(_U))) for s, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["order", "shard", "grams", "counts"])
 
@@ -137,7 +142,7 @@ def _answered(dealt: DataFrame, counts: DataFrame, order: int, shards: int) -> D
         rows = []
         for m in range(order):
             own = np.unique(grams[m])
-            cut = _cuts(own, shards)
+            cut = _cuts(own, m + 1, shards)
             rows += [(m + 1, s, key[0].as_py(), _coded(own[i:j])) for s, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["order", "shard", "block", "asked"])
 
@@ -186,6 +191,7 @@ def _likelihoods(counts: list[np.ndarray], starts: np.ndarray, tokens, documents
     return shares, buckets
 
 
+#: Likelihoods are rounded to this part of a bit while the weights are learned, not when texts are scored.
 _STEPS = 4
 
 
@@ -249,7 +255,7 @@ def fit(train: DataFrame, held_out: Column, order: int = 2) -> Model:
     counts = save(_counted(train, order, shards), "ngrams")
     about = counts.filter("order = 1").agg(F.sum("total"), F.sum("n")).first()
     tokens, distinct = int(about[0] or 0), int(about[1] or 0)
-    # cells are bounded by buckets and steps, whatever the number of tokens
+    # for order m at most (BUCKETS * _STEPS * log2(tokens)) ** m rows, of which few occur: 2 ** 17 or so for order 2, whatever the corpus
     cells = _held_out(_dealt(train.filter("chosen").select("id", "text")), counts, order, shards, tokens, documents).collect()
     return Model(counts, shards, tokens, distinct, documents, _weights(np.array([list(r) for r in cells], np.int64).reshape(-1, 2 * order + 1), order, distinct))
 

@@ -232,7 +232,7 @@ def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     """(key, id, component) of the rows (key, id) whose keys have nodes of different components under ``links``."""
     so_far = components(links)
     labelled = save(rows.join(so_far, rows.id == so_far.node, "left").select("key", "id", F.coalesce("component", "id").alias("component")), "labelled")
-    return labelled.join(_apart(labelled, "key"), "key", "left_semi")
+    return save(labelled.join(_apart(labelled, "key"), "key", "left_semi"), "split")
 
 
 def _apart(rows: DataFrame, *keys: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Token sequences of fixed size, packed by hierarchical best fit.
 
 Every task tokenizes its documents and packs their pieces best-fit, longest first. Bins that are as good as full are done. The
-others become items of a tree: their sums are dealt to fewer nodes, each packs what it gets best-fit again, and so on up to one
-node. Only (bin, sum) rows climb; pieces stay where they were written and learn their sequence from the composed levels.
+others become items of a tree: their sums are dealt to nodes of a bounded size, each packs what it gets best-fit again, and so on, up
+to one node or until hardly any bin fits another. Only (bin, sum) rows climb; pieces stay where they were written and learn their sequence from the composed levels.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from weir.llm import text
 from weir.llm.scratch import save
 
-#: Items of one node of the tree, about; nodes that meet in one of the next level.
-NODE, FAN = 20_000, 8
+#: Items of one node of the tree, about, and the share of bins that a level must bring together for another one to follow.
+NODE, LEAST = 20_000, 0.001
 
 
 #: Bytes between which words are cut: the tokenizer never looks from a letter to one of these marks or back. Its contractions begin
@@ -123,7 +123,7 @@ def _pieces(docs: DataFrame, model: Broadcast, size: int, slack: int, end: int,
 
 
 def _level(items: DataFrame, level: int, nodes: int, size: int, slack: int) -> DataFrame:
-    """(bin, up, shift, total, open): items (bin, total) in the bins of the next level. At the root all are done."""
+    """(bin, up, shift, total, open): items (bin, total) in the bins of the next level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -132,34 +132,33 @@ def _level(items: DataFrame, level: int, nodes: int, size: int, slack: int) -> D
         table = pa.Table.from_batches(held)
         bins, shift, sums = best_fit(table.column("total").to_numpy(), size)
         task = TaskContext.get().partitionId()
-        opened = (sums < size - slack) & (nodes > 1)
-        if opened.sum() > NODE:  # what is nearest to full waits no longer, so that a node's items stay bounded
-            opened[np.argsort(np.where(opened, -sums, 1), kind="stable")[: int(opened.sum()) - NODE]] = False
+        opened = sums < size - slack
         up = bins + (task << 32) + (level << 56)
         yield pa.RecordBatch.from_arrays([table.column("bin").combine_chunks(), pa.array(up), pa.array(shift), pa.array(sums[bins]), pa.array(opened[bins])], ["bin", "up", "shift", "total", "open"])
 
-    dealt = items.withColumn("node", F.pmod(F.xxhash64("bin"), F.lit(nodes))).repartition(nodes, "node").select("bin", "total")
+    dealt = items.withColumn("node", F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(nodes))).repartition(nodes, "node").select("bin", "total")
     return save(dealt.mapInArrow(run, "bin bigint, up bigint, shift bigint, total bigint, open boolean"), f"level-{level}")
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0, slack: int = 2, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0, slack: int = 2, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", node: int = NODE) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (, ids: little-endian 32-bit bytes).
 
     ``tokenizer`` is the path of a tokenizers JSON file that drops white space, read by the driver. A document is its ids, then ``end``;
     a null or empty text is ``end`` alone. Only documents of more than ``size`` ids are cut. Pieces fill sequences from offset 0
-    without gaps; a bin with at most ``slack`` places left is done. Repeated rows and null doc_ids are packed like others.
+    without gaps; a bin with at most ``slack`` places left is done. Repeated rows and null doc_ids are packed like others. ``node``: bins
+    that one task packs anew, about.
     """
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as file:
         model = spark.sparkContext.broadcast(file.read())
     pieces = save(_pieces(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), model, size, slack, end, with_ids), "pieces")
     items = pieces.filter("open").groupBy("bin").agg(F.sum("length").alias("total"))
-    way, level, nodes = None, 0, None
-    while nodes != 1:
-        wanted = max(1, -(-items.count() // NODE))
-        nodes, level = wanted if nodes is None else min(wanted, -(-nodes // FAN)), level + 1
+    way, level, before, after, nodes = None, 0, 0, items.count(), 2
+    while way is None or (nodes > 1 and before - after > LEAST * before):
+        nodes, level, before = max(1, -(-after // node)), level + 1, after
         step = _level(items, level, nodes, size, slack)
         items = step.filter("open").select(F.col("up").alias("bin"), "total").distinct()
+        after = items.count()
         if way is None:
             way = step.select("bin", "up", "shift")
         else:

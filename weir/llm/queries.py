@@ -30,10 +30,11 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null doc_id has no label and isn't held out."""
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
     machine = quality.learn(docs, labels.filter(quality.fold(F.col("doc_id"), 5) != 0))
     scored = quality.score(docs, machine)
-    return scored.select("doc_id", (quality.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(quality.fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +61,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that are null or empty, or hold null or non-finite components, take no part."""
     vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), quantised(F.col("embedding")).alias("vector"))
     return top_k(vectors, vectors.filter("id % 50 = 0"))
 
