@@ -129,7 +129,7 @@ def test_packing_on_several_levels(spark):
     docs = spark.createDataFrame([(i, "word " * rnd.randrange(1, 900)) for i in range(400)], "doc_id bigint, text string").repartition(16)
     path = public_tokenizers.path("word_bpe_49k.json")
     counts = []
-    for node in (20_000, 4):
+    for node in (20_000, 20):
         packed = pack(docs, path, node=node).collect()
         bins: dict = {}
         for r in sorted(packed, key=lambda r: r.offset):
@@ -181,17 +181,22 @@ def test_interpolated_scores_against_plain_python(docs, rows, monkeypatch):
         lowered = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
         tokens = {i: [*re.findall(r"[^\x20\x09-\x0D]+", lowered(t)), "\0end"] for i, t in rows}
         train = [ts for i, ts in tokens.items() if i % 2 == 1]
-        grams = lambda ts, m: [tuple((["\0start"] * (m - 1) + ts)[k : k + m]) for k in range(len(ts))]
+
+        def grams(ts, m):
+            padded = ["\0start"] * (m - 1) + ts
+            return [tuple(padded[k : k + m]) for k in range(len(ts))]
+
         counts = [Counter(g for ts in train for g in grams(ts, m)) for m in range(1, order + 1)]
         n, v = sum(counts[0].values()), len(counts[0])
         assert (model.tokens, model.distinct) == (n, v)
         for r in lm.score(table, model).collect():
             ts, total = tokens[r.id], 0.0
+            own = [grams(ts, m) for m in range(1, order + 1)]
             for k in range(len(ts)):
                 p = 1 / (v + 1)
                 for m in range(1, order + 1):
-                    gram = grams(ts, m)[k]
-                    context = n if m == 1 else len(train) if k == 0 else counts[m - 2][grams(ts, m - 1)[k - 1]]
+                    gram = own[m - 1][k]
+                    context = n if m == 1 else len(train) if k == 0 else counts[m - 2][own[m - 2][k - 1]]
                     bucket = 0 if m == 1 or not context else min(int(math.log2(context)) + 1, lm.BUCKETS - 1)
                     weight = model.weights[m - 1, bucket]
                     p = weight * (min(counts[m - 1][gram] / context, 1) if context else 0) + (1 - weight) * p

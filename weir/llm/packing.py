@@ -21,7 +21,7 @@ from weir.llm import text
 from weir.llm.scratch import save
 
 #: Items of one node of the tree, about, and the share of bins that a level must bring together for another one to follow.
-NODE, LEAST = 20_000, 0.001
+NODE, LEAST = 20_000, 0.02
 
 
 #: Bytes between which words are cut: the tokenizer never looks from a letter to one of these marks or back. Its contractions begin
