@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from weir.operators.aggregates import aggregate, average, count, count_distinct, having, total
+from weir.operators.aggregates import aggregate, average, count, count_distinct, having, total, total_distinct
 from weir.operators.relational import MULT, distinct_on, project, select
 from weir.plans.builder import EquiJoin, Regions, Source, ThetaJoin, WithScalar
 from weir.plans.named import PLANS
@@ -100,7 +100,28 @@ def test_parts_are_merged(spark, tmp_path, monkeypatch):
 
 def test_what_changes_cannot_carry(spark, tmp_path):
     one = spark.createDataFrame([(1, 2, 1)], f"k bigint, x bigint, {MULT} bigint")
-    with pytest.raises(NotImplementedError):
-        Online(Source("a", distinct_on("k")), str(tmp_path), spark).step(0, {"a": one})
     with pytest.raises(ValueError):
         append.run(Source("a"), {"a": one}, str(tmp_path))
+
+
+def test_several_measures_over_different_values_and_one_row_of_each(spark, tmp_path):
+    """Values come and go; a key keeps one whole row as long as it has any."""
+    plan = Source("a", aggregate(["k"], n=count(), x=count_distinct(F.col("x")), t=total_distinct(F.col("x"))))
+    counted, one = Online(plan, str(tmp_path / "m"), spark), Online(Source("a", distinct_on("k")), str(tmp_path / "d"), spark)
+    for batch, rows in enumerate(([(1, 5, 1), (1, 5, 1), (1, 7, 1), (2, 3, 1)], [(1, 5, -1), (1, 7, -1), (2, 3, -1), (3, 4, 1)], [(1, 2, 1)])):
+        changes = spark.createDataFrame(rows, f"k bigint, x bigint, {MULT} bigint")
+        counted.step(batch, {"a": changes})
+        one.step(batch, {"a": changes})
+    assert bag(counted.result()) == Counter({(1, 2, 7, 2): 1, (3, 1, 4, 1): 1})
+    assert bag(one.result()) == Counter({(1, 2): 1, (3, 4): 1})
+    assert bag(counted.look_up(k=3)) == Counter({(3, 1, 4, 1): 1})
+    assert bag(counted.changes().filter(F.col(MULT) < 0).select("k", "n")) == Counter({(1, 1): 1})
+
+
+def test_registered_plans_take_several_batches(spark, monkeypatch):
+    from weir.streaming import runs
+
+    seen = []
+    monkeypatch.setattr(Online, "step", lambda self, number, arrived, real=Online.step: seen.append((number, [t for t, df in arrived.items() if df.count()])) or real(self, number, arrived))
+    runs.QUERIES["online_nested_first"](spark, SF)
+    assert [n for n, _ in seen] == [0, 1, 2, 3] and all(t == ["orders"] for _, t in seen)

@@ -82,3 +82,42 @@ def test_every_pair_meets_once(spark, xs, ys, rows, columns, condition):
 
 def test_grids():
     assert grid(1000, 1000, 16) == (4, 4) and grid(10_000, 10, 8) == (8, 1) and grid(5, 5, 1) == (1, 1)
+
+
+_WORD = st.text(alphabet="ab 'gGrRoOuUpPbByY{}d#\\n-,()", max_size=24)
+
+
+@settings(max_examples=40, deadline=None)
+@given(_WORD)
+def test_literals_stay_as_they_are(word):
+    literal = "'" + word.replace("'", "''") + "'"
+    assert normalised(f"SELECT a, SUM(b) FROM t WHERE s = {literal} AND d < {{d '1995-01-01'}} GROUP BY a") == f"SELECT a, SUM(b) FROM t WHERE s = {literal} AND d < DATE '1995-01-01'\nGROUP BY ALL"
+
+
+def test_texts_leave_no_views(spark):
+    from weir.plans.dialect import sql
+
+    spark.range(3).createOrReplaceTempView("orders")
+    other = spark.createDataFrame([("group by x",), ("extract_year(",)], "s string")
+    assert sql(spark, "SELECT s FROM ORDERS WHERE s = 'group by x'", {"orders": other}).collect() == [("group by x",)]
+    assert spark.table("orders").count() == 3
+
+
+def test_delimited_refuses_what_it_cannot_hold(spark, tmp_path):
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("s", T.StringType())])
+    for n, bad in enumerate(("a|b", "a\nb")):
+        with pytest.raises(Exception, match="separator or a line end"):
+            delimited.write(spark.createDataFrame([(1, bad)], schema), str(tmp_path / f"bad{n}"))
+    (tmp_path / "short.tbl").write_text("1|a\n2\n")
+    with pytest.raises(Exception, match="hasn't 2 fields"):
+        delimited.read(spark, str(tmp_path / "short.tbl"), schema).collect()
+
+
+def test_plans_cut_before_they_aggregate(spark):
+    """Lines meet the chosen parts below the aggregate, and grids have no fixed number of regions."""
+    from weir.plans.builder import Regions
+    from weir.plans.queries import queries
+
+    plan = queries()["tpch17"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Brand#4") == 2
+    assert Regions().shape(spark) == (2, 2) and Regions(sizes=(1000, 1)).shape(spark) == (4, 1)

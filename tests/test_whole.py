@@ -18,38 +18,3 @@ def test_joins_take_in_every_customer(spark):
     assert full.filter("o_orderkey is not null").count() == large.count() and full.filter("c_custkey is null").count() == 0
     assert not keys(semi, "c_custkey") & keys(anti, "c_custkey") and keys(semi, "c_custkey") | keys(anti, "c_custkey") == every
     assert anti.count() > 0
-
-
-def test_near_duplicates_of_an_id_with_two_texts(spark):
-    """Both texts of id 1 have a near copy: one node for the id, all links found, whichever text comes first."""
-    from weir.llm.minhash import near_duplicates
-
-    say = lambda c: " ".join(f"{c}{i}" for i in range(80))
-    rows = [(1, say("a")), (1, say("b")), (2, say("a") + " x"), (3, say("b") + " y"), (4, say("c"))]
-    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
-
-
-def test_viterbi_against_a_plain_dynamic_programme():
-    """Whole texts: the best sum of scores over all segmentations."""
-    from pathlib import Path
-
-    import public_tokenizers
-    import pytest
-    from sentencepiece import SentencePieceProcessor
-
-    from weir.llm.pieces import Pieces, viterbi
-
-    model = Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
-    pieces, read = Pieces(model), SentencePieceProcessor(model_proto=model)
-    own = {read.id_to_piece(int(i)): float(s) for i, s in zip(pieces.ids, pieces.scores, strict=True)}
-    for said in ("one two three, and a line that returns", "naïve é ü 漢字 🙂 again and again", "unbelievablyinterconnectedwordswithoutblanks " * 5):
-        t = "▁" + said.replace(" ", "▁")
-        best = [0.0] + [float("-inf")] * len(t)
-        for end in range(1, len(t) + 1):
-            for start in range(max(0, end - pieces.longest), end):
-                score = own.get(t[start:end], float(pieces.unknown) if end - start == 1 else float("-inf"))
-                best[end] = max(best[end], best[start] + score)
-        found = viterbi([t], pieces)[0]
-        got = sum(float(pieces.scores[i]) if i >= 0 else float(pieces.unknown) for i in found)
-        assert got == pytest.approx(best[-1])

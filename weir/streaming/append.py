@@ -13,11 +13,18 @@ from pyspark.sql import functions as F
 from weir.operators.aggregates import Aggregate
 from weir.operators.relational import MULT, chain
 from weir.plans.builder import Component, Operation, Source
-from weir.streaming.online import Online
+from weir.streaming.online import Online, Running, started
 
 
 def run(plan: Component, streams: Mapping[str, DataFrame], folder: str) -> Online:
     """Run ``plan`` over what the streams have now. Its joins are Spark's own stream joins, with their state in the state store."""
+    running = start(plan, streams, folder, None)
+    running.query.awaitTermination()
+    return running.online
+
+
+def start(plan: Component, streams: Mapping[str, DataFrame], folder: str, every: str | None = "1 second") -> Running:
+    """Keep ``plan`` current while the streams go on, with a micro-batch at every interval."""
     last = plan.operators[-1] if plan.operators else None
     if not isinstance(last, Aggregate):
         raise ValueError("the plan must end with an aggregate")
@@ -27,6 +34,5 @@ def run(plan: Component, streams: Mapping[str, DataFrame], folder: str) -> Onlin
     def step(batch: DataFrame, number: int) -> None:
         online.step(number, {"rows": batch.withColumn(MULT, F.lit(1).cast("bigint"))})
 
-    rows.writeStream.outputMode("append").foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return online
+    return started(rows, step, online, folder, every)
 

@@ -25,6 +25,15 @@ def _flat(grouped, measures: dict[str, Column], groups: list[str]) -> DataFrame:
     return out.select(F.col("window.start").alias("start"), F.col("window.end").alias("stop"), *groups, *measures)
 
 
+def ended(df: DataFrame, time: str, folder: str) -> DataFrame:
+    """The stream with one more row, whose time lies after all others and whose other columns are null. The watermark then passes the
+    end of the input, so that every window of the rows before closes; that row's own window never does."""
+    spark = df.sparkSession
+    last = spark.range(1).select(*[F.lit("9999-01-01").cast(f.dataType).alias(f.name) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
+    last.write.parquet(f"{folder}/end")
+    return df.unionByName(spark.readStream.schema(last.schema).parquet(f"{folder}/end"))
+
+
 def drain(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Run a stream over what its sources have now into Parquet files, and read them. In append mode each row is written once, and
     windows that the watermark hasn't closed are not."""

@@ -10,10 +10,11 @@ One streaming query carries all tables, so each micro-batch is one consistent st
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from weir.operators.aggregates import Aggregate, Measure
 from weir.operators.relational import MULT, Distinct
@@ -48,9 +49,23 @@ class Online:
 
     def result(self) -> DataFrame:
         """The plan's rows as of the last batch. A total over no rows at all gives no row."""
+        return expanded(self._result().through(self.last))
+
+    def changes(self) -> DataFrame:
+        """What the last batch changed: rows with a signed multiplicity. With a trigger at an interval this is a periodic flush."""
+        return self._result().of(self.last)
+
+    def look_up(self, **keys) -> DataFrame:
+        """The rows of ``result`` with these values in these columns; only they are read from the state's parts."""
+        rows = self._result().through(self.last)
+        for name, value in keys.items():
+            rows = rows.filter(F.col(name).eqNullSafe(F.lit(value)))
+        return expanded(rows)
+
+    def _result(self) -> Parts:
         if self.last is None:
             raise ValueError("no batch has been taken in")
-        return expanded(self.stores["result"].through(self.last))
+        return self.stores["result"]
 
     def _parts(self, name: str, merge) -> Parts:
         return self.stores.setdefault(name, Parts(self.spark, f"{self.folder}/{name}", merge))
@@ -92,12 +107,14 @@ class Online:
 
     def _aggregated(self, operator: Aggregate, name: str, batch: int, changes: DataFrame) -> DataFrame:
         measures = operator.measures
-        if any(m.distinct for m in measures.values()):
-            changes = self._different(operator, name, batch, changes)
-        inputs = {n: m.values[0] for n, m in measures.items() if m.values and not m.distinct} | {n: F.col(f"_x_{n}") for n, m in measures.items() if m.distinct}
-        rows = changes.select(*operator.groups, *[x.alias(f"_x_{n}") for n, x in inputs.items()], MULT)
+        plain = {n: m.values[0] for n, m in measures.items() if m.values and not m.distinct}
+        rows = changes.select(*operator.groups, *[x.alias(f"_x_{n}") for n, x in plain.items()], MULT)
         keys = rows.columns[: len(operator.groups)]
-        parts = [F.sum(MULT).alias("_n")]
+        rows = rows.withColumn("_own", F.col(MULT))
+        for n, m in measures.items():
+            if m.distinct:  # each such measure has rows of its own: its different values, as they come and go
+                rows = rows.unionByName(self._different(operator, n, m, name, batch, changes), allowMissingColumns=True)
+        parts, inputs = [F.sum("_own").alias("_n")], [n for n, m in measures.items() if m.values]
         for n in inputs:
             x = F.col(f"_x_{n}")
             parts += [F.sum(F.when(x.isNotNull(), F.col(MULT))).alias(f"_n_{n}")]
@@ -114,24 +131,39 @@ class Online:
         row = lambda at, sign: F.struct(*keys, *[value(n, m, at).alias(n) for n, m in measures.items()], F.lit(sign).cast("bigint").alias(MULT))
         return _difference(moved, row(0, -1), row(1, 1), [*keys, *measures])
 
-    def _different(self, operator: Aggregate, name: str, batch: int, changes: DataFrame) -> DataFrame:
-        """The changes of distinct (group, value), for an aggregate over different values only."""
-        if len(operator.measures) > 1:
-            raise NotImplementedError("one aggregate over different values at a time")
-        [(n, m)] = operator.measures.items()
+    def _different(self, operator: Aggregate, n: str, m: Measure, name: str, batch: int, changes: DataFrame) -> DataFrame:
+        """The changes of distinct (group, value) of one measure."""
         x = m.values[0] if len(m.values) == 1 else F.when(F.greatest(*[v.isNull().cast("int") for v in m.values]) == 0, F.struct(*m.values))
         rows = changes.select(*operator.groups, x.alias(f"_x_{n}"), MULT)
-        return self._distinct(Distinct(*rows.columns[:-1]), f"{name}-distinct", batch, rows)
+        return self._distinct(Distinct(*rows.columns[:-1]), f"{name}-distinct-{n}", batch, rows)
 
     def _distinct(self, operator: Distinct, name: str, batch: int, changes: DataFrame) -> DataFrame:
         keys = [c for c in changes.columns if c != MULT]
         if set(operator.keys) != set(keys):
-            raise NotImplementedError("over changes, rows are distinct on all their columns: project to the keys first")
+            return self._one_of_each(list(operator.keys), name, batch, changes)
         moved = self._moved(name, batch, changes.groupBy(*keys).agg(F.sum(MULT).alias("_n")), keys)
         row = lambda sign: F.struct(*keys, F.lit(sign).cast("bigint").alias(MULT))
         return _difference(moved, row(-1), row(1), None)
 
 
+    def _one_of_each(self, keys: list[str], name: str, batch: int, changes: DataFrame) -> DataFrame:
+        """One whole row for each key: the smallest that is there. Only keys of this batch are looked at."""
+        others = [c for c in changes.columns if c not in (*keys, MULT)]
+        store = self._parts(name, consolidated)
+        now = store.put(batch, changes)
+        touched = now.select(*[F.col(c).alias(f"_k_{c}") for c in keys]).distinct()
+        same = None
+        for c in keys:
+            same = F.col(c).eqNullSafe(F.col(f"_k_{c}")) if same is None else same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+        both = store.before(batch).withColumn("_new", F.lit(0)).join(touched, same, "left_semi").unionByName(now.withColumn("_new", F.lit(1)))
+        counts = both.groupBy(*keys, *others).agg(F.sum(F.when(F.col("_new") == 0, F.col(MULT)).otherwise(0)).alias("n0"), F.sum(MULT).alias("n1"))
+        least = lambda n: F.min(F.when(F.col(n) > 0, F.struct(*others)))
+        moved = counts.groupBy(*keys).agg(least("n0").alias("r0"), least("n1").alias("r1"))
+        moved = moved.select(*keys, "r0", "r1", F.col("r0").isNotNull().cast("int").alias("_n0"), F.col("r1").isNotNull().cast("int").alias("_n1"))
+        row = lambda r, sign: F.struct(*keys, *[F.col(r).getField(c).alias(c) for c in others], F.lit(sign).cast("bigint").alias(MULT))
+        return _difference(moved, row("r0", -1), row("r1", 1), [*keys, *others])
+
+
 def _difference(moved: DataFrame, old, new, compared: list[str] | None) -> DataFrame:
     """The old row out where there was one (count _n0) and the new one in where there is one (_n1), unless they are the same."""
     pair = moved.select(F.when(F.coalesce("_n0", F.lit(0)) > 0, old).alias("o"), F.when(F.coalesce("_n1", F.lit(0)) > 0, new).alias("n"))
@@ -150,9 +182,35 @@ def together(streams: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+class Running:
+    """A query that takes in batches in the background: ``online`` can be asked between them, ``stop`` ends it."""
+
+    def __init__(self, online: Online, query: StreamingQuery):
+        self.online, self.query = online, query
+
+    def stop(self) -> Online:
+        """End after what has arrived so far."""
+        self.query.processAllAvailable()
+        self.query.stop()
+        return self.online
+
+
+def started(rows: DataFrame, step: Callable[[DataFrame, int], None], online: Online, folder: str, every: str | None) -> Running:
+    """``step`` on each micro-batch of ``rows``: at every interval, or, without one, until what is there has been taken in."""
+    writer = rows.writeStream.outputMode("append").foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint")
+    return Running(online, (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start())
+
+
 def run(plan: Component, streams: Mapping[str, DataFrame], folder: str) -> Online:
-    """Take in what the streams have now, micro-batch by micro-batch, and return the running state. A stream may have a column MULT;
-    otherwise its rows are put in."""
+    """Take in what the streams have now, micro-batch by micro-batch, and return the running state."""
+    running = start(plan, streams, folder, None)
+    running.query.awaitTermination()
+    return running.online
+
+
+def start(plan: Component, streams: Mapping[str, DataFrame], folder: str, every: str | None = "1 second") -> Running:
+    """Keep ``plan`` current while the streams go on, with a micro-batch at every interval. A stream may have a column MULT; otherwise
+    its rows are put in."""
     spark = next(iter(streams.values())).sparkSession
     online = Online(plan, f"{folder}/state", spark)
 
@@ -160,5 +218,4 @@ def run(plan: Component, streams: Mapping[str, DataFrame], folder: str) -> Onlin
         arrived = {n: rows.filter(F.col("_table") == n).select(f"{n}.*") for n in streams}
         online.step(batch, {n: df if MULT in df.columns else df.withColumn(MULT, F.lit(1).cast("bigint")) for n, df in arrived.items()})
 
-    together(streams).writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return online
+    return started(together(streams), step, online, folder, every)

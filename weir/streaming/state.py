@@ -24,7 +24,7 @@ class Parts:
         if batch and batch % MERGE == 0:
             self.merge(self._read(batch)).write.mode("overwrite").parquet(f"{self.folder}/before-{batch}")
         rows.write.mode("overwrite").parquet(f"{self.folder}/batch-{batch}")
-        return self._open([f"{self.folder}/batch-{batch}"])
+        return self.of(batch)
 
     def before(self, batch: int) -> DataFrame:
         """All parts before that of ``batch``, whose own part must have been put."""
@@ -32,8 +32,11 @@ class Parts:
             return self._open([f"{self.folder}/before-{batch}"])
         return self._read(batch)
 
+    def of(self, batch: int) -> DataFrame:
+        return self._open([f"{self.folder}/batch-{batch}"])
+
     def through(self, batch: int) -> DataFrame:
-        return self.before(batch).unionByName(self._open([f"{self.folder}/batch-{batch}"]))
+        return self.before(batch).unionByName(self.of(batch))
 
     def _read(self, batch: int) -> DataFrame:
         merged = (batch - 1) // MERGE * MERGE
