@@ -196,6 +196,26 @@ def test_broken_archives(spark, tmp_path):
             warc.read(spark, archived(name, parts)).collect()
 
 
+def test_archive_members(spark, tmp_path):
+    """Plain archives, one or several gzip members and any size of parts give the same records; revisits name their response as the
+    format has it; cut archives and other bytes are told."""
+    import gzip
+
+    path = str(tmp_path / "whole")
+    warc.write(spark.createDataFrame(PAGES, "page_id bigint, url string, html string").coalesce(1), path, segment=5000)
+    [file] = (tmp_path / "whole").glob("*.gz")
+    plain = gzip.decompress(file.read_bytes())
+    want, half = list(warc.parse(plain)), len(plain) // 2
+    for archive in (plain, gzip.compress(plain), gzip.compress(plain[:half]) + gzip.compress(plain[half:])):
+        assert all(list(warc.parse(archive, step)) == want for step in (1, 37, 65_536))
+    [revisit] = [head for head, _ in want if head["warc-type"] == "revisit"]
+    assert revisit["warc-profile"].endswith("/identical-payload-digest") and revisit["warc-refers-to-target-uri"] == "http://a/2"
+    assert list(warc.parse(b"")) == []
+    for bad in (file.read_bytes()[:-20], plain[:-3], plain[:9], b"HTTP/1.1 200 OK\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc.parse(bad))
+
+
 def test_pipeline(spark):
     """Each stage against what it took in."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -20,6 +20,8 @@ from weir.llm.scratch import partitions, save
 from weir.session import shared_folder
 
 _END = "\r\n"
+_DATE = "2024-01-01T00:00:00Z"
+_SAME = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
 
@@ -37,32 +39,33 @@ def records(pages: DataFrame, least: int = 1000, chunk: int = 4096, segment: int
     """(record): the WARC records of ``pages`` (page_id, url, html), without the two line ends after each.
 
     A payload of at least ``least`` bytes that several pages have is written once, with the largest page_id; the others' records
-    are revisits of that. Bodies are framed in chunks of ``chunk`` characters, and what is longer than ``segment`` characters is
+    are revisits of that, which name it by its URI and date as the format has it, and by its page_id in a header of our own. Bodies are framed in chunks of ``chunk`` characters, and what is longer than ``segment`` characters is
     cut into continuation records. A null html is an empty payload; a null page_id or url has no header and takes part in no
     group. Rows that repeat the page_id that is kept are all responses.
     """
     page = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.regexp_replace("url", r"[\r\n]", "%0A").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     page = page.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html"))
-    shared = page.filter((F.col("bytes") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("first"), F.min("page_id").alias("last")).filter("first != last")
-    shared = save(shared.select("digest", "first"), "shared-payloads")  # read back, its size is known when the join is planned
+    shared = page.filter((F.col("bytes") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("best"), F.min("page_id").alias("last")).filter("best.page_id != last")
+    shared = save(shared.select("digest", F.col("best.page_id").alias("first"), F.col("best.url").alias("first_url")), "shared-payloads")  # read back, its size is known when the join is planned
     page = page.join(shared, "digest", "left").withColumn("first", F.when(F.col("page_id") != F.col("first"), F.col("first")))
     page = page.withColumn("id", F.concat(F.lit("<urn:weir:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(":"), F.monotonically_increasing_id().cast("string"), F.lit(">")))
     body = F.concat(F.array_join(F.transform(_pieces(F.col("html"), chunk), lambda x: F.concat(F.hex(F.octet_length(x)), F.lit(_END), x, F.lit(_END))), ""), F.lit("0\r\n\r\n"))
     full = F.concat(F.lit(f"{_HTTP}Transfer-Encoding: chunked\r\n\r\n"), F.when(F.col("html") == "", F.lit("0\r\n\r\n")).otherwise(body))
     bare = F.concat(F.lit(f"{_HTTP}Content-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
-    page = page.select("page_id", "url", "digest", "first", "id", F.when(F.col("first").isNull(), full).otherwise(bare).alias("block"))
+    page = page.select("page_id", "url", "digest", "first", "first_url", "id", F.when(F.col("first").isNull(), full).otherwise(bare).alias("block"))
     part = page.withColumn("total", F.octet_length("block")).select("*", F.posexplode(_pieces(F.col("block"), segment)).alias("k", "piece")).withColumn("n", F.ceil(F.greatest(F.length("block"), F.lit(1)) / segment))
     begins, cut = F.col("k") == 0, F.col("n") > 1
     head = F.concat(
         F.lit(f"WARC/1.1{_END}"),
         _line("WARC-Type", F.when(~begins, "continuation").when(F.col("first").isNull(), "response").otherwise("revisit")),
         _line("WARC-Record-ID", F.when(begins, F.col("id")).otherwise(F.concat(F.expr("left(id, length(id) - 1)"), F.lit(":"), F.col("k").cast("string"), F.lit(">")))),
-        _line("WARC-Date", F.lit("2024-01-01T00:00:00Z")),
+        _line("WARC-Date", F.lit(_DATE)),
         _line("WARC-Target-URI", F.col("url")),
         _line("WARC-Segment-Number", F.when(cut, F.col("k") + 1)),
         _line("WARC-Segment-Origin-ID", F.when(~begins, F.col("id"))),
         _line("WARC-Segment-Total-Length", F.when(F.col("k") == F.col("n") - 1, F.when(cut, F.col("total")))),
         F.when(begins, F.concat(_line("WARC-Page-ID", F.col("page_id")), _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), _line("WARC-Refers-To-Page-ID", F.col("first")))).otherwise(""),
+        F.when(begins & F.col("first").isNotNull(), F.concat(_line("WARC-Profile", F.lit(_SAME)), _line("WARC-Refers-To-Target-URI", F.col("first_url")), _line("WARC-Refers-To-Date", F.lit(_DATE)))).otherwise(""),
         _line("Content-Type", F.when(begins, "application/http; msgtype=response")),
         _line("Content-Length", F.octet_length("piece")),
         F.lit(_END),
@@ -75,26 +78,49 @@ def write(pages: DataFrame, path: str, per_archive: int = 1000, **how) -> None:
     records(pages, **how).write.option("lineSep", _END * 2).option("compression", "gzip").option("maxRecordsPerFile", per_archive).text(path)
 
 
-def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of one archive, plain or gzip (one member or several): lower-cased header names and the block."""
-    data, rest = (b"", archive) if archive[:2] == b"\x1f\x8b" else (archive, b"")
-    parts = []
-    while rest:
-        member = zlib.decompressobj(31)
-        parts.append(member.decompress(rest) + member.flush())
-        rest = member.unused_data
-    data, at = data or b"".join(parts), 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode().split(_END) if end >= 0 else [""]
-        if not version.startswith("WARC/"):
+def _inflated(archive: bytes, step: int) -> Iterator[bytes]:
+    """The archive's bytes part by part, out of ``step`` stored bytes each."""
+    plain, member, view = archive[:2] != b"\x1f\x8b", None, memoryview(archive)
+    for at in range(0, len(view), step):
+        rest = view[at : at + step]
+        if plain:
+            yield bytes(rest)
+            continue
+        while rest:
+            member = member or zlib.decompressobj(31)
+            yield member.decompress(rest)
+            rest = member.unused_data
+            member = None if member.eof else member
+    if member:
+        raise ValueError("the archive ends inside a gzip member")
+
+
+def parse(archive: bytes, step: int = 65_536) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of one archive, plain or gzip (one member or several): lower-cased header names and the block. No more is inflated
+    at a time than a record and what ``step`` stored bytes hold."""
+    parts, data, at = _inflated(archive, step), bytearray(), 0
+
+    def have(n: int) -> bool:
+        while len(data) < n:
+            part = next(parts, None)
+            if part is None:
+                return False
+            data.extend(part)
+        return True
+
+    while have(1):
+        if not have(5) or not data.startswith(b"WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        while (end := data.find(b"\r\n\r\n")) < 0:
+            if not have(len(data) + 1):
+                raise ValueError(f"the header of the record at byte {at} doesn't end")
+        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[:end].decode().split(_END)[1:])}
         start, size = end + 4, int(head["content-length"])
-        if data[start + size : start + size + 4] != b"\r\n\r\n":
+        if not have(start + size + 4) or data[start + size : start + size + 4] != b"\r\n\r\n":
             raise ValueError(f"the record at byte {at} doesn't end after {size} bytes")
-        yield head, data[start : start + size]
-        at = start + size + 4
+        yield head, bytes(data[start : start + size])
+        del data[: start + size + 4]
+        at += start + size + 4
 
 
 def body(block: bytes) -> tuple[dict[str, str], bytes]:
