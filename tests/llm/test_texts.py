@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -42,6 +43,40 @@ def test_fingerprints_add_and_take(spark):
     assert row[0] == row[1] == row[2] and row[3] == row[4] and row[5] == 1.0
 
 
+def _sentences(text: str) -> Counter:
+    long = lambda x: re.split(r"(?<=\S{7})\s+", x, flags=re.ASCII) if len(x) > 160 else [x]
+    return Counter(y.strip(" ") for x in re.split(r"[.!?\n\u0964\u061f\u3002\uff01\uff1f]+", text) for y in long(x) if y.strip(" "))
+
+
+def test_likeness_against_true_shares(spark):
+    """The estimate from two fingerprints is near the true share of sentences that stand in both texts equally often."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id is not null")
+    texts = [r.text or "" for r in docs.orderBy("doc_id").collect()]
+    got = edited(docs).orderBy("doc_id").select("near_edited", "near_next").collect()
+    errors, unrelated = [], []
+    for k, t in enumerate(texts):
+        following = texts[(k + 1) % len(texts)]
+        n = len(t) // 4
+        for other, estimate in ((t[: len(t) - n] + following[:n], got[k].near_edited), (following, got[k].near_next)):
+            a, b = _sentences(t), _sentences(other)
+            share = 1.0 if t == other else sum(a[x] == b[x] for x in a | b) / max(1, len(a | b))
+            errors.append(abs(share - estimate))
+            unrelated += [estimate] if share == 0 and a and b else []
+    assert max(errors) < 0.15 and sum(errors) / len(errors) < 0.01
+    assert len(unrelated) > 500 and max(unrelated) < 0.01
+
+
+def test_likeness_without_full_stops(spark):
+    """A text of many words without an end of a sentence isn't one piece, whatever its script."""
+    rnd = random.Random(3)
+    word = lambda letters: "".join(rnd.choice(letters) for _ in range(rnd.randint(2, 11)))
+    for letters in ("abcdefghij", "абвгдежзик"):
+        text = " ".join(word(letters) for _ in range(2000))
+        other = text[: len(text) * 3 // 4] + " ".join(word(letters) for _ in range(500))
+        near = spark.createDataFrame([(text, other)], "a string, b string").select(likeness(fingerprint("a"), fingerprint("b"))).first()[0]
+        assert 0.45 < near < 0.75
+
+
 def test_fingerprints_of_odd_rows(odd, empty):
     assert edited(odd).count() == 5 and edited(empty).count() == 0
     assert edited(odd.limit(1)).count() == 1

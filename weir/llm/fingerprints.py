@@ -5,8 +5,9 @@ doesn't know the paragraphs' order, and paragraphs can be put in or taken out by
 
 A vector has two parts. ``LANES`` lanes of 32 bits come from the paragraph's SHA-512; they carry equality. ``LEVELS`` x ``CELLS``
 cells of 16 bits carry likeness: each sentence of the paragraph falls on level l with probability 2 ** -(l + 1) and adds its hash
-to one cell there. Two fingerprints' unequal cells on the first level that isn't crowded tell how many sentences differ, as in a
-strata estimator, for short and long texts alike. Only cells that aren't zero are written.
+to one cell there. Two fingerprints' equal and unequal cells, from the first level on that isn't crowded, tell the share of sentences
+that both texts have, for short and long texts alike. Only cells that aren't zero are written. Sentences of more than ``LONG``
+characters are cut into runs that end on a long word, so that a text without full stops isn't one piece.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LANES, LEVELS, CELLS = 16, 12, 32
-#: A level with more unequal cells than this is too crowded to count on.
-CROWDED = 22
+LANES, LEVELS, CELLS = 16, 12, 256
+#: A level on which two fingerprints use more cells than this is too crowded to count on.
+CROWDED = 176
+#: What ends a sentence, in several scripts; characters of a sentence that isn't cut further; where longer ones are cut.
+ENDS, LONG, AFTER = r"[.!?\n\u0964\u061f\u3002\uff01\uff1f]+", 160, r"(?<=\S{7})\s+"
 #: Documents of one window, about, and windows at most: their bounds are the only rows that reach the driver.
 GROUP, GROUPS = 2000, 20_000
 
@@ -36,8 +39,10 @@ def _lanes(paragraphs: Column) -> Column:
 
 
 def _sentences(text: Column) -> Column:
-    """Hashes of the pieces between any of ``.!?\\n``, without blanks around them and empty ones."""
-    return F.transform(F.filter(F.transform(F.split(text, r"[.!?\n]+"), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.xxhash64(x))
+    """Hashes of the pieces between ends of sentences, long ones cut after words of seven characters or more, without blanks around
+    them and empty ones."""
+    runs = F.flatten(F.transform(F.split(text, ENDS), lambda x: F.when(F.length(x) > LONG, F.split(x, AFTER)).otherwise(F.array(x))))
+    return F.transform(F.filter(F.transform(runs, lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.xxhash64(x))
 
 
 def _cell(h: Column) -> Column:
@@ -47,14 +52,19 @@ def _cell(h: Column) -> Column:
     return F.least(zeros, F.lit(LEVELS - 1)).cast("bigint") * CELLS + F.pmod(h, F.lit(CELLS))
 
 
+def _grouped(items: Column, bits: int, body: Callable[[Column], Column]) -> Column:
+    """The arrays that ``body`` makes of the items with equal upper bits, one after another."""
+    keys = F.array_distinct(F.transform(items, lambda x: F.shiftright(x, bits)))
+    return F.flatten(F.transform(keys, lambda k: _let(F.filter(items, lambda x: F.shiftright(x, bits) == k), body)))
+
+
 def _cells(hashes: Column) -> Column:
-    """Sorted cell * 2 ** 16 + (sum modulo 2 ** 16) of the cells that aren't zero."""
+    """Sorted cell * 2 ** 16 + (sum modulo 2 ** 16) of the cells that aren't zero. Levels, blocks of 16 cells and cells are told apart
+    in turn, so that each scan meets few sentences but its own."""
     own = F.transform(hashes, lambda h: _cell(h) * 65536 + F.shiftrightunsigned(h, 8).bitwiseAND(65535))
-    sums = lambda items: F.transform(
-        F.array_sort(F.array_distinct(F.transform(items, lambda x: F.shiftright(x, 16)))),
-        lambda cell: cell * 65536 + F.aggregate(items, F.lit(0).cast("bigint"), lambda s, x: F.when(F.shiftright(x, 16) == cell, s + x.bitwiseAND(65535)).otherwise(s)) % 65536,
-    )
-    return F.filter(_let(own, sums), lambda x: x % 65536 != 0)
+    total = lambda items: F.array(F.shiftright(F.get(items, F.lit(0)), 16) * 65536 + F.aggregate(items, F.lit(0).cast("bigint"), lambda s, x: s + x.bitwiseAND(65535)) % 65536)
+    sums = _let(own, lambda items: _grouped(items, 24, lambda level: _grouped(level, 20, lambda block: _grouped(block, 16, total))))
+    return F.array_sort(F.filter(sums, lambda x: x % 65536 != 0))
 
 
 def _hex(values: Column, digits: int) -> Column:
@@ -62,14 +72,13 @@ def _hex(values: Column, digits: int) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """The fingerprint of a text (null: empty): lanes, a dash, cells, a dash, the number of sentences, all hexadecimal.
+    """The fingerprint of a text (null: empty): lanes, a dash, cells, all hexadecimal.
 
     Paragraphs are the pieces between \\n, the empty ones too, so texts that differ in anything but the order of paragraphs
-    differ in lanes; sentences are the pieces between any of ``.!?\\n``, without blanks around them and empty ones.
+    differ in lanes; sentences are as ``_sentences`` cuts them.
     """
     text = F.coalesce(text, F.lit(""))
-    seen = _let(_sentences(text), lambda hashes: F.concat_ws("-", _hex(_cells(hashes), 7), F.lower(F.hex(F.size(hashes)))))
-    return F.concat_ws("-", _hex(_lanes(F.split(text, "\n")), 8), seen)
+    return F.concat_ws("-", _hex(_lanes(F.split(text, "\n")), 8), _hex(_let(_sentences(text), _cells), 7))
 
 
 def _cut(digits: Column, size: int) -> Column:
@@ -95,26 +104,33 @@ def combined(a: Column, b: Column, sign: int = 1) -> Column:
     spread = lambda x: F.map_from_entries(F.transform(_cut(_part(x, 2), 7), lambda c: F.struct(F.substring(c, 1, 3).alias("key"), _number(F.substring(c, 4, 4)).alias("value"))))
     both = F.map_zip_with(spread(a), spread(b), lambda _, x, y: F.pmod(F.coalesce(x, F.lit(0)) + sign * F.coalesce(y, F.lit(0)), F.lit(65536)))
     cells = F.array_sort(F.transform(F.filter(F.map_entries(both), lambda e: e["value"] != 0), lambda e: _number(e["key"]) * 65536 + e["value"]))
-    return F.concat_ws("-", _hex(lanes, 8), _hex(cells, 7), F.lower(F.hex(_number(_part(a, 3)) + sign * _number(_part(b, 3)))))
+    return F.concat_ws("-", _hex(lanes, 8), _hex(cells, 7))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1 from two fingerprints alone: the estimated share of sentences that both texts have; 1 where all lanes are equal."""
-    return _let(
-        F.struct(_cut(_part(a, 2), 7).alias("a"), _cut(_part(b, 2), 7).alias("b"), (_number(_part(a, 3)) + _number(_part(b, 3))).cast("double").alias("n"), (_part(a, 1) == _part(b, 1)).alias("same")),
-        lambda x: F.when(x["same"], F.lit(1.0)).when(x["n"] == 0, F.lit(0.0)).otherwise(_let(_differing(x["a"], x["b"]), lambda d: (x["n"] - F.least(d, x["n"])) / (x["n"] + F.least(d, x["n"])))),
-    )
+    """0 to 1 from two fingerprints alone: the estimated share, among the different sentences of both texts, of those that stand in
+    both equally often; 1 where all lanes are equal, 0 where they differ and neither text has a sentence."""
+    cells = F.struct(_cut(_part(a, 2), 7).alias("a"), _cut(_part(b, 2), 7).alias("b"))
+    return F.when(_part(a, 1) == _part(b, 1), F.lit(1.0)).otherwise(_let(cells, lambda x: _shared(x["a"], x["b"])))
 
 
-def _differing(a: Column, b: Column) -> Column:
-    """About how many sentences differ, from the cells of two fingerprints."""
+def _shared(a: Column, b: Column) -> Column:
+    """The share of equal sentences from the cells of two fingerprints. A cell is unequal if any differing sentence falls into it,
+    and equal if none does but a common one: with u and e of m cells such, -ln(1 - u / m) differing and -ln(1 - e / (m - u)) common
+    sentences a cell are the likeliest. Unrelated texts have no equal cells, whatever their length."""
     every = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+    level = lambda keys: F.transform(keys, lambda x: F.floor(_number(F.substring(x, 1, 3)) / CELLS))
+    per = lambda levels: F.transform(every, lambda i: F.size(F.filter(levels, lambda v: v == i)))
     unequal = F.array_distinct(F.transform(F.concat(F.array_except(a, b), F.array_except(b, a)), lambda x: F.substring(x, 1, 3)))
-    counts = _let(F.transform(unequal, lambda x: F.floor(_number(x) / CELLS)), lambda levels: F.transform(every, lambda i: F.size(F.filter(levels, lambda v: v == i))))
-    # the levels from the first uncrowded one on hold a known share of all sentences
-    first = lambda n: F.coalesce(F.array_min(F.filter(every, lambda i: F.get(n, i) <= CROWDED)), F.lit(LEVELS - 1))
-    fallen = lambda n, i: -CELLS * F.ln(1 - F.least(F.get(n, i), F.lit(CELLS - 1)) / F.lit(float(CELLS)))
-    return _let(counts, lambda n: _let(first(n), lambda f: F.pow(F.lit(2.0), f) * F.aggregate(F.filter(every, lambda i: i >= f), F.lit(0.0), lambda s, i: s + fallen(n, i))))
+    counts = F.zip_with(_let(level(unequal), per), _let(level(F.array_intersect(a, b)), per), lambda u, e: F.struct(u.alias("u"), e.alias("e")))
+    # the levels from the first uncrowded one on hold the same share of differing and of common sentences
+    first = lambda n: F.coalesce(F.array_min(F.filter(every, lambda i: F.get(n, i)["u"] + F.get(n, i)["e"] <= CROWDED)), F.lit(LEVELS - 1))
+    fallen = lambda part, whole: -F.ln(1 - F.least(part, whole - 0.5) / whole)
+    both = lambda n: F.transform(
+        F.filter(n, lambda _, i: i >= first(n)), lambda x: F.struct(fallen(x["u"], F.lit(float(CELLS))).alias("differ"), fallen(x["e"], F.greatest(CELLS - x["u"], F.lit(1)).cast("double")).alias("agree"))
+    )
+    total = lambda rows: F.aggregate(rows, F.struct(F.lit(0.0).alias("differ"), F.lit(0.0).alias("agree")), lambda s, x: F.struct((s["differ"] + x["differ"]).alias("differ"), (s["agree"] + x["agree"]).alias("agree")))
+    return _let(_let(counts, lambda n: total(both(n))), lambda t: F.when(t["differ"] + t["agree"] > 0, t["agree"] / (t["differ"] + t["agree"])).otherwise(F.lit(0.0)))
 
 
 def with_next(docs: DataFrame, id_col: str, carried: list[str], derive: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
