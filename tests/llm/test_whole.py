@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -13,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tests.llm.test_dedup import brute_repeats, shingles
-from weir.llm import lines, lm, minhash, topk
+from weir.llm import lines, lm, minhash, pieces, topk
 from weir.llm.minhash import MinHash, near_duplicates
 from weir.llm.packing import pack
 from weir.llm.repeats import Sizes, drop_repeats
@@ -202,3 +203,17 @@ def test_interpolated_scores_against_plain_python(docs, rows, monkeypatch):
                     p = weight * (min(counts[m - 1][gram] / context, 1) if context else 0) + (1 - weight) * p
                 total += math.log10(p)
             assert math.isclose(r.score, total, rel_tol=1e-9)
+
+
+def test_long_words_are_merged_as_short_ones():
+    """The heap's merges are those of words of equal length that advance together, and a very long word costs little."""
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        known = pieces.Pieces(file.read())
+    rnd = random.Random(5)
+    for alphabet in ("a", "ab", "etaoin", "the▁in", "é漢e"):
+        words = ["".join(rnd.choice(alphabet) for _ in range(200)) for _ in range(20)]
+        for together, word in zip(pieces.merges(words, known), words, strict=True):
+            assert together.tolist() == pieces.merged(word, known).tolist()
+    begin = time.perf_counter()
+    (found,) = pieces.merges(["a" * 100_000], known)
+    assert time.perf_counter() - begin < 20 and len(found) < 50_000

@@ -8,6 +8,7 @@ piece lengths, kept as a back pointer) or by merging neighbours in the order of
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,7 @@ class Pieces:
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(plain)[order]
         self.scores = np.array([read.get_score(int(i)) for i in self.ids])
+        self.named = {names[i]: k for k, i in enumerate(self.ids.tolist())}
         self.unknown = self.scores.min() - _UNKNOWN
         raw = self._raw(read, names, set(plain))
         self.lengths = np.array([len(r) for r in raw])
@@ -107,6 +109,8 @@ def viterbi(words: list[str], pieces: Pieces) -> list[np.ndarray]:
 def merges(words: list[str], pieces: Pieces) -> list[np.ndarray]:
     """Piece indices (-1: a character without a piece) of words of equal length: again and again the neighbours that make the
     piece of the highest score, the leftmost of equals, become one."""
+    if len(words[0]) > ALONE:
+        return [merged(w, pieces) for w in words]
     prefix, inverse = _prefixes(words)
     n, size = len(words), len(words[0])
     rows = np.arange(n)
@@ -146,7 +150,34 @@ def merges(words: list[str], pieces: Pieces) -> list[np.ndarray]:
     return [found[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
 
 
+def merged(word: str, pieces: Pieces) -> np.ndarray:
+    """What ``merges`` finds for one word. Possible merges wait in a heap, so that each costs the logarithm of their number."""
+    size = len(word)
+    after, before = list(range(1, size + 2)), list(range(-1, size))
+
+    def gain(cut: int) -> list[tuple[float, int, int, int]]:
+        found = pieces.named.get(word[before[cut] : after[cut]]) if 0 < cut < size else None
+        return [] if found is None else [(-pieces.scores[found], cut, before[cut], after[cut])]
+
+    heap = [x for cut in range(1, size) for x in gain(cut)]
+    heapq.heapify(heap)
+    while heap:
+        _, cut, lo, hi = heapq.heappop(heap)
+        if (before[cut], after[cut]) == (lo, hi):
+            after[lo], before[hi], after[cut] = hi, lo, -1
+            for side in (lo, hi):
+                for x in gain(side):
+                    heapq.heappush(heap, x)
+    out, lo = [], 0
+    while lo < size:
+        out.append(pieces.named.get(word[lo : after[lo]], -1))
+        lo = after[lo]
+    return np.array(out)
+
+
 METHODS = {"viterbi": viterbi, "bpe": merges}
+#: Length from which a word is merged alone.
+ALONE = 512
 #: Characters of words that advance together, about, and length from which a word is first cut where no piece reaches across.
 TOGETHER, LONG = 1 << 18, 48
 
