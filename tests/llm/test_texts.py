@@ -44,7 +44,7 @@ def test_fingerprints_add_and_take(spark):
 
 
 def _sentences(text: str) -> Counter:
-    long = lambda x: re.split(r"(?<=\S{7})\s+", x, flags=re.ASCII) if len(x) > 160 else [x]
+    long = lambda x: re.split(r"\s(?<=\S{7}\s)", x, flags=re.ASCII) if len(x) > 160 else [x]
     return Counter(y.strip(" ") for x in re.split(r"[.!?\n\u0964\u061f\u3002\uff01\uff1f]+", text) for y in long(x) if y.strip(" "))
 
 

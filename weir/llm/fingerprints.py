@@ -21,7 +21,7 @@ LANES, LEVELS, CELLS = 16, 12, 256
 #: A level on which two fingerprints use more cells than this is too crowded to count on.
 CROWDED = 176
 #: What ends a sentence, in several scripts; characters of a sentence that isn't cut further; where longer ones are cut.
-ENDS, LONG, AFTER = r"[.!?\n\u0964\u061f\u3002\uff01\uff1f]+", 160, r"(?<=\S{7})\s+"
+ENDS, LONG, AFTER = r"[.!?\n\u0964\u061f\u3002\uff01\uff1f]+", 160, r"\s(?<=\S{7}\s)"
 #: Documents of one window, about, and windows at most: their bounds are the only rows that reach the driver.
 GROUP, GROUPS = 2000, 20_000
 
@@ -83,7 +83,7 @@ def fingerprint(text: Column) -> Column:
 
 def _cut(digits: Column, size: int) -> Column:
     """The numerals of ``size`` digits that a part of a fingerprint holds."""
-    return F.when(digits == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.length(digits) / size - 1, F.lit(0)).cast("int")), lambda i: F.substring(digits, i * size + 1, F.lit(size))))
+    return F.regexp_extract_all(digits, F.lit(f".{{{size}}}"), F.lit(0))
 
 
 def _part(print_: Column, k: int) -> Column:
@@ -126,11 +126,11 @@ def _shared(a: Column, b: Column) -> Column:
     # the levels from the first uncrowded one on hold the same share of differing and of common sentences
     first = lambda n: F.coalesce(F.array_min(F.filter(every, lambda i: F.get(n, i)["u"] + F.get(n, i)["e"] <= CROWDED)), F.lit(LEVELS - 1))
     fallen = lambda part, whole: -F.ln(1 - F.least(part, whole - 0.5) / whole)
-    both = lambda n: F.transform(
-        F.filter(n, lambda _, i: i >= first(n)), lambda x: F.struct(fallen(x["u"], F.lit(float(CELLS))).alias("differ"), fallen(x["e"], F.greatest(CELLS - x["u"], F.lit(1)).cast("double")).alias("agree"))
+    both = lambda n, f: F.transform(
+        F.filter(n, lambda _, i: i >= f), lambda x: F.struct(fallen(x["u"], F.lit(float(CELLS))).alias("differ"), fallen(x["e"], F.greatest(CELLS - x["u"], F.lit(1)).cast("double")).alias("agree"))
     )
     total = lambda rows: F.aggregate(rows, F.struct(F.lit(0.0).alias("differ"), F.lit(0.0).alias("agree")), lambda s, x: F.struct((s["differ"] + x["differ"]).alias("differ"), (s["agree"] + x["agree"]).alias("agree")))
-    return _let(_let(counts, lambda n: total(both(n))), lambda t: F.when(t["differ"] + t["agree"] > 0, t["agree"] / (t["differ"] + t["agree"])).otherwise(F.lit(0.0)))
+    return _let(_let(counts, lambda n: _let(first(n), lambda f: total(both(n, f)))), lambda t: F.when(t["differ"] + t["agree"] > 0, t["agree"] / (t["differ"] + t["agree"])).otherwise(F.lit(0.0)))
 
 
 def with_next(docs: DataFrame, id_col: str, carried: list[str], derive: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
