@@ -125,3 +125,22 @@ def test_registered_plans_take_several_batches(spark, monkeypatch):
     monkeypatch.setattr(Online, "step", lambda self, number, arrived, real=Online.step: seen.append((number, [t for t, df in arrived.items() if df.count()])) or real(self, number, arrived))
     runs.QUERIES["online_nested_first"](spark, SF)
     assert [n for n, _ in seen] == [0, 1, 2, 3] and all(t == ["orders"] for _, t in seen)
+
+
+def test_a_large_table_arrives_in_many_files(spark, tmp_path):
+    """No task deals out a whole micro-batch of a table that Spark reads in parts; the micro-batches stay as many as asked for."""
+    from weir.streaming import runs
+
+    n = 20_000
+    spark.range(n, numPartitions=1).write.option("parquet.block.size", 8_192).parquet(str(tmp_path / "in/a.parquet"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        made = runs.arriving(spark, str(tmp_path / "in"), ["a"], str(tmp_path))["a"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    rows = [r["count"] for r in table(spark, str(tmp_path / "tables"), "a").groupBy("_metadata.file_path").count().collect()]
+    assert sum(rows) == n and max(rows) < n / 4
+    seen = []
+    made.writeStream.foreachBatch(lambda df, i: seen.append(df.count())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == runs.BATCHES and sum(seen) == n

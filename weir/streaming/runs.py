@@ -26,16 +26,24 @@ def tables_of(plan: Component) -> set[str]:
 #: Micro-batches that a registered query takes in at least, each with some of every table; of plans that take rows back, more.
 BATCHES, MORE = 2, dict.fromkeys(("tpch17", "tpch18", "tpch22", "nested_first"), 4)
 
+#: Parts are stored compressed and shuffled as they are, which takes a few times their size.
+FILES = 4
+
 
 def arriving(spark: SparkSession, sf_dir: str, names: list[str], folder: str, batches: int = BATCHES) -> dict[str, DataFrame]:
-    """The tables as streams that arrive in ``batches`` micro-batches. A table of fewer files is first written as so many."""
+    """The tables as streams that arrive in ``batches`` micro-batches. A table of fewer files is first written anew; what Spark reads in
+    several parts gets ``FILES`` files for each of them in every micro-batch, so what a task takes in is bounded by a part's size."""
     out = {}
     for name in names:
         rows = table(spark, sf_dir, name)
         files = len(rows.inputFiles())
         if files < batches:
-            rows.repartition(batches, F.xxhash64(*rows.columns)).write.parquet(f"{folder}/tables/{name}.parquet")
-        out[name] = stream(spark, sf_dir if files >= batches else f"{folder}/tables", name, max(1, files // batches))
+            parts = rows.rdd.getNumPartitions()
+            files = batches * (FILES * parts if parts > 1 else 1)
+            rows.repartition(files, F.xxhash64(*rows.columns)).write.parquet(f"{folder}/tables/{name}.parquet")
+            out[name] = stream(spark, f"{folder}/tables", name, files // batches)
+        else:
+            out[name] = stream(spark, sf_dir, name, max(1, files // batches))
     return out
 
 
