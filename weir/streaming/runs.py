@@ -138,7 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"online_{n}": _run(PLANS[n], online.run, MORE.get(n, BATCHES)) for n in _ONLINE},
     "online_theta_output_dominated": _run(theta_output_dominated, online.run),
     "online_dialect_tpch3": _text("tpch3", ["customer", "orders", "lineitem"]),
-    "online_dialect_tpch7": _text("tpch7", ["customer", "orders", "lineitem", "supplier", "nation"]),
+    "online_dialect_tpch7": _text("tpch7", ["nation", "supplier", "customer", "orders", "lineitem"]),
     "online_dialect_distinct_hyracks": _text("distinct_hyracks", ["customer", "orders"]),
     "stream_hyracksbatch": flushed,
     "stream_look_up": looked_up,
