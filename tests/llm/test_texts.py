@@ -266,3 +266,26 @@ def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near_duplicates", "passages", "packing"]
     empty = docs.filter("false")
     assert all(stage(spark, empty, SF).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_words_are_made_once_for_all_methods_and_few_substrings_are_looked_up():
+    import numpy as np
+    import public_tokenizers
+
+    from weir.llm import pieces
+
+    class Asked:
+        ids = np.zeros(0, np.int64)
+
+        def of(self, distinct, word):
+            self.words = [word(i) for i in range(len(distinct))]
+            return np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+
+    data, a, b = np.frombuffer(b"some words, some more", np.uint8), Asked(), Asked()
+    pieces.encode(data, np.array([0, len(data)]), {"a": a, "b": b})
+    assert sorted(a.words) == ["▁more", "▁some", "▁words,"] and all(x is y for x, y in zip(a.words, b.words, strict=True))
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        own = pieces.Pieces(file.read())
+    others = np.random.default_rng(1).integers(0, 2**64, (100, 100), np.uint64)
+    assert own.probe(own.keys).tolist() == list(range(len(own.keys))) and (own.probe(others) == np.where(np.isin(others, own.keys), 0, -1)).all()
+    assert own.some[(others >> np.uint64(44)).astype(np.int64)].mean() < 0.1

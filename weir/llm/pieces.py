@@ -8,6 +8,7 @@ piece lengths, kept as a back pointer) or by merging neighbours in the order of
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterator
 
@@ -25,6 +26,7 @@ _SPACE = "▁"
 #: A character without a piece costs this much less than the lowest score, as in the library.
 _UNKNOWN = 10.0
 _DEAD = -1e300
+_HEAD = 20
 
 
 class Pieces:
@@ -47,6 +49,8 @@ class Pieces:
         keys = _keyed(keys, np.array([len(names[i]) for i in plain], _U))
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(plain)[order]
+        self.some = np.zeros(1 << _HEAD, bool)  # which first bits any key has: most substrings are no piece and end here
+        self.some[(self.keys >> _U(64 - _HEAD)).astype(np.int64)] = True
         self.scores = np.array([read.get_score(int(i)) for i in self.ids])
         self.named = {names[i]: k for k, i in enumerate(self.ids.tolist())}
         self.unknown = self.scores.min() - _UNKNOWN
@@ -62,8 +66,12 @@ class Pieces:
 
     def probe(self, keys: np.ndarray) -> np.ndarray:
         """The index of each key among the sorted keys, or -1."""
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, -1)
+        out = np.full(keys.shape, -1)
+        maybe = self.some[(keys >> _U(64 - _HEAD)).astype(np.int64)]
+        own = keys[maybe]
+        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        out[maybe] = np.where(self.keys[at] == own, at, -1)
+        return out
 
 
 def _prefixes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -97,13 +105,19 @@ def viterbi(words: list[str], pieces: Pieces) -> list[np.ndarray]:
         pick = sums.argmax(axis=1)
         rows = np.arange(n)
         best[:, end], back[:, end], used[:, end] = sums[rows, pick], sizes[pick], found[rows, pick]
-    out: list[list[int]] = [[] for _ in words]
-    at = np.full(n, size)
+    at, rows, found = np.full(n, size), [], []
     while (live := np.flatnonzero(at > 0)).size:
-        for i, p in zip(live.tolist(), used[live, at[live]].tolist(), strict=True):
-            out[i].append(p)
+        rows.append(live)
+        found.append(used[live, at[live]])
         at[live] -= back[live, at[live]]
-    return [np.array(x[::-1]) for x in out]
+    row = np.concatenate(rows[::-1])
+    order = np.argsort(row, kind="stable")  # steps went backwards, so the first pieces come first
+    return _by_row(row[order], np.concatenate(found[::-1])[order], n)
+
+
+def _by_row(row: np.ndarray, found: np.ndarray, n: int) -> list[np.ndarray]:
+    at = np.searchsorted(row, np.arange(n + 1)).tolist()
+    return [found[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
 
 
 def merges(words: list[str], pieces: Pieces) -> list[np.ndarray]:
@@ -146,8 +160,7 @@ def merges(words: list[str], pieces: Pieces) -> list[np.ndarray]:
     row, lo, hi = row[1:][whole], cut[:-1][whole], cut[1:][whole]
     with np.errstate(over="ignore"):
         found = pieces.probe(_keyed((prefix[row, hi] - prefix[row, lo]) * inverse[lo], hi - lo))
-    at = np.searchsorted(row, np.arange(n + 1)).tolist()
-    return [found[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+    return _by_row(row, found, n)
 
 
 def merged(word: str, pieces: Pieces) -> np.ndarray:
@@ -197,10 +210,12 @@ def encode_words(words: list[str], pieces: Pieces, method: str) -> list[np.ndarr
             own = group[lo : lo + step]
             each = METHODS[method]([words[i] for i in own], pieces)
             every = np.concatenate(each)
-            ids, ends = pieces.ids[every], np.cumsum([len(x) for x in each]).tolist()
-            bare = set(np.searchsorted(ends, np.flatnonzero(every < 0), "right").tolist())
+            ids, ends = pieces.ids[every], np.cumsum([len(x) for x in each])
+            starts = [0, *ends.tolist()]
             for k, i in enumerate(own):
-                out[i] = _with_bytes(words[i], each[k], pieces) if k in bare else ids[ends[k] - len(each[k]) : ends[k]]
+                out[i] = ids[starts[k] : starts[k + 1]]
+            for k in np.unique(np.searchsorted(ends, np.flatnonzero(every < 0), "right")).tolist():
+                out[own[k]] = _with_bytes(words[own[k]], each[k], pieces)
     return out
 
 
@@ -248,8 +263,10 @@ def encode(data: np.ndarray, bounds: np.ndarray, known: dict[str, text.Remembere
     hashes = np.concatenate([text.span_hashes(data[a:b], starts[i:j] - a, ends[i:j] - a) for i, j, a, b in _stretches(starts, ends)] or [np.zeros(0, _U)])
     distinct, one, which = np.unique(hashes, return_index=True, return_inverse=True)
     raw, first, out = data.tobytes(), np.searchsorted(starts, bounds), []
+    lo, hi = starts[one].tolist(), ends[one].tolist()
+    word = functools.cache(lambda i: raw[lo[i] : hi[i]].decode("utf-8", "replace").replace(" ", _SPACE))  # the methods ask for the same ones
     for memory in known.values():
-        at, lengths = memory.of(distinct, lambda i: raw[starts[one[i]] : ends[one[i]]].decode("utf-8", "replace").replace(" ", _SPACE))
+        at, lengths = memory.of(distinct, word)
         at, lengths = at[which], lengths[which]
         out.append((memory.ids[text.gathered(at, lengths)], np.concatenate([[0], np.cumsum(lengths)])[first]))
     return out
