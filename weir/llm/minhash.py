@@ -56,10 +56,15 @@ class MinHash:
         return (agreeing / self.minima - chance) / (1 - chance)
 
     @property
-    def least(self) -> float:
-        """The estimate under which a pair at ``percent`` practically never falls."""
+    def least_agreeing(self) -> float:
+        """Agreeing values under which a pair at ``percent`` practically never falls."""
         p = self.percent / 100 + (1 - self.percent / 100) * 2.0**-self.bits
-        return self.estimate(self.minima * p - self.deviations * math.sqrt(self.minima * p * (1 - p)))
+        return self.minima * p - self.deviations * math.sqrt(self.minima * p * (1 - p))
+
+    @property
+    def least(self) -> float:
+        """The estimate from so many."""
+        return self.estimate(self.least_agreeing)
 
 
 def _minima(runs: np.ndarray, starts: np.ndarray, how: MinHash) -> np.ndarray:
