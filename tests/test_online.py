@@ -166,3 +166,17 @@ WHERE A.x < B.x OR Two.y = 'one'"""
     assert bag(still.result()) == bag(sql(spark, text, tables))
     nested = texts.run(spark, "SELECT s.k, COUNT(*) AS n FROM (SELECT k FROM one WHERE x > 3) s INNER JOIN two ON s.k = two.k", streams, str(tmp_path / "nested"))
     assert bag(nested.result()) == bag(spark.sql("SELECT one.k, COUNT(*) AS n FROM {one} one INNER JOIN {two} two ON one.k = two.k WHERE x > 3 GROUP BY one.k", one=tables["one"], two=tables["two"]))
+
+
+@pytest.mark.parametrize("name", ["hyracks", "tpch12", "theta_inequality"])
+def test_plans_with_joins_keep_no_rows_in_memory(spark, tmp_path, name):
+    """Over several batches the result is the batch's and no join has a state in the executors."""
+    from weir.streaming.runs import arriving, tables_of
+
+    plan = PLANS[name]()
+    names = sorted(tables_of(plan))
+    running = append.start(plan, arriving(spark, SF, names, str(tmp_path)), str(tmp_path / "run"), None)
+    running.query.awaitTermination()
+    assert running.online.last == 1
+    assert not any(p["stateOperators"] for p in running.query.recentProgress)
+    assert bag(running.online.result()) == bag(plan.over({t: table(spark, SF, t) for t in names}))

@@ -1,6 +1,8 @@
-"""Plans whose only aggregate is the last operator: Spark joins the streams itself, and each batch's partial sums are merged.
+"""Plans whose only aggregate is the last operator: each batch's partial sums are merged.
 
-Inner joins only append rows, so nothing is ever taken back: a batch adds counts and sums to those before it.
+Rows of one table only append, so nothing is ever taken back: a batch adds counts and sums to those before it. Spark's own stream joins
+would hold every row of both sides in the executors' memory, so a plan that joins tables is kept by ``online``, whose rows lie in the
+shared folder. Rows that Spark shall join itself are given as one stream.
 """
 
 from __future__ import annotations
@@ -13,11 +15,12 @@ from pyspark.sql import functions as F
 from weir.operators.aggregates import Aggregate
 from weir.operators.relational import MULT, chain
 from weir.plans.builder import Component, Operation, Source
+from weir.streaming import online as signed
 from weir.streaming.online import Online, Running, started
 
 
 def run(plan: Component, streams: Mapping[str, DataFrame], folder: str) -> Online:
-    """Run ``plan`` over what the streams have now. Its joins are Spark's own stream joins, with their state in the state store."""
+    """Run ``plan`` over what the streams have now."""
     running = start(plan, streams, folder, None)
     running.query.awaitTermination()
     return running.online
@@ -28,6 +31,8 @@ def start(plan: Component, streams: Mapping[str, DataFrame], folder: str, every:
     last = plan.operators[-1] if plan.operators else None
     if not isinstance(last, Aggregate):
         raise ValueError("the plan must end with an aggregate")
+    if _joins(plan):
+        return signed.start(plan, streams, folder, every)
     rows = chain(*plan.operators[:-1])(plan.rows(streams))
     online = Online(Operation(Source("rows"), last), f"{folder}/state", rows.sparkSession)
 
@@ -36,3 +41,6 @@ def start(plan: Component, streams: Mapping[str, DataFrame], folder: str, every:
 
     return started(rows, step, online, folder, every)
 
+
+def _joins(plan: Component) -> bool:
+    return len(plan.inputs) > 1 or any(_joins(c) for c in plan.inputs)
