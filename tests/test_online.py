@@ -146,6 +146,37 @@ def test_a_large_table_arrives_in_many_files(spark, tmp_path):
     assert len(seen) == runs.BATCHES and sum(seen) == n
 
 
+@pytest.mark.parametrize("even", [True, False])
+def test_even_parts_arrive_without_a_shuffle(spark, tmp_path, even):
+    """What Spark reads in even parts is written part by part, so no task reads rows of others; one row group is dealt out by hashes."""
+    from weir.streaming import runs
+
+    n = 40_000
+    spark.range(n, numPartitions=1).write.option("parquet.block.size", 8_192 if even else 1 << 27).parquet(str(tmp_path / "in/a.parquet"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "48k")
+    try:
+        parts = table(spark, str(tmp_path / "in"), "a").rdd.getNumPartitions()
+        made = runs.arriving(spark, str(tmp_path / "in"), ["a"], str(tmp_path), 4)["a"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    files = table(spark, str(tmp_path / "tables"), "a").groupBy("_metadata.file_path").agg(F.count("*").alias("n"), (F.max("id") - F.min("id") + 1).alias("range")).collect()
+    assert parts > 1 and len(files) > 4 and sum(r["n"] for r in files) == n and max(r["n"] for r in files) < n / 4
+    assert all((r["n"] == r["range"]) == even for r in files)
+    seen = []
+    made.writeStream.foreachBatch(lambda df, i: seen.append(df.count())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 4 and sum(seen) == n
+
+
+def test_sources_read_what_the_plan_takes(spark):
+    """What a source selects and projects is done in its stream, so that other columns aren't read."""
+    tables = {t: table(spark, SF, t).withColumn(MULT, F.lit(1).cast("bigint")) for t in ("lineitem", "orders", "customer")}
+    plan, read = online.ahead(PLANS["tpch4"](), tables)
+    assert read["lineitem"].columns == ["l_orderkey", "l_shipdate", MULT] and not any(c.operators for c in plan.inputs)
+    assert read["orders"].columns == ["o_orderkey", "o_orderpriority", "o_orderdate", MULT] and 0 < read["orders"].count() < tables["orders"].count()
+    assert online.ahead(PLANS["tpch22"](), tables)[1]["customer"].columns == tables["customer"].columns
+
+
 def test_running_texts_keep_no_rows_in_joins(spark, tmp_path):
     """A text's tables, one of them read twice, arrive over batches of unequal number; the result is the batch's and no join has a state."""
     from weir.plans.dialect import sql

@@ -11,6 +11,8 @@ One streaming query carries all tables, so each micro-batch is one consistent st
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from copy import copy
+from itertools import takewhile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +45,7 @@ class Online:
     def step(self, batch: int, arrived: Mapping[str, DataFrame]) -> None:
         """Take in one batch: changes by table. Batches are numbered from 0 without gaps; one that comes again is computed again from
         the same state."""
-        changes = self._changes(self.plan, "plan", batch, arrived)
+        changes = self._changes(self.plan, "plan", batch, arrived, {})
         self._parts("result", consolidated).put(batch, consolidated(changes))
         self.last = batch
 
@@ -70,11 +72,14 @@ class Online:
     def _parts(self, name: str, merge) -> Parts:
         return self.stores.setdefault(name, Parts(self.spark, f"{self.folder}/{name}", merge))
 
-    def _changes(self, node: Component, name: str, batch: int, arrived: Mapping[str, DataFrame]) -> DataFrame:
+    def _changes(self, node: Component, name: str, batch: int, arrived: Mapping[str, DataFrame], made: dict[int, DataFrame]) -> DataFrame:
+        """``made``: the changes of this batch by component; one that stands in the plan twice has its state once."""
+        if id(node) in made:
+            return made[id(node)]
         if isinstance(node, Source):
             out = arrived[node.name]
         else:
-            below = [self._changes(c, f"{name}-{i}", batch, arrived) for i, c in enumerate(node.inputs)]
+            below = [self._changes(c, f"{name}-{i}", batch, arrived, made) for i, c in enumerate(node.inputs)]
             out = self._joined(node, name, batch, *below) if len(below) == 2 else node.combined(*below)
         for i, operator in enumerate(node.operators):
             if isinstance(operator, Aggregate):
@@ -83,6 +88,7 @@ class Online:
                 out = self._distinct(operator, f"{name}-operator{i}", batch, out)
             else:
                 out = operator.weighted(out)
+        made[id(node)] = out
         return out
 
     def _joined(self, node: Component, name: str, batch: int, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -93,6 +99,8 @@ class Online:
             pairs = node.combined(x.withColumnRenamed(MULT, "_mult_left"), y.withColumnRenamed(MULT, "_mult_right"))
             return pairs.withColumn(MULT, F.col("_mult_left") * F.col("_mult_right")).drop("_mult_left", "_mult_right")
 
+        if not batch:
+            return meet(new_a, new_b)
         return meet(new_a, b.through(batch)).unionByName(meet(a.before(batch), new_b))
 
     def _moved(self, name: str, batch: int, partial: DataFrame, keys: list[str]) -> DataFrame:
@@ -212,10 +220,35 @@ def start(plan: Component, streams: Mapping[str, DataFrame], folder: str, every:
     """Keep ``plan`` current while the streams go on, with a micro-batch at every interval. A stream may have a column MULT; otherwise
     its rows are put in."""
     spark = next(iter(streams.values())).sparkSession
+    plan, streams = ahead(plan, {n: df if MULT in df.columns else df.withColumn(MULT, F.lit(1).cast("bigint")) for n, df in streams.items()})
     online = Online(plan, f"{folder}/state", spark)
 
     def step(rows: DataFrame, batch: int) -> None:
-        arrived = {n: rows.filter(F.col("_table") == n).select(f"{n}.*") for n in streams}
-        online.step(batch, {n: df if MULT in df.columns else df.withColumn(MULT, F.lit(1).cast("bigint")) for n, df in arrived.items()})
+        online.step(batch, {n: rows.filter(F.col("_table") == n).select(f"{n}.*") for n in streams})
 
     return started(together(streams), step, online, folder, every)
+
+
+def ahead(plan: Component, streams: Mapping[str, DataFrame]) -> tuple[Component, dict[str, DataFrame]]:
+    """``plan`` and ``streams`` with what a source first selects and projects already done in its stream, so that Spark reads these rows
+    and columns of its files only. A table that several sources read stays whole."""
+    sources, made, done = _sources(plan), {}, dict(streams)
+
+    def rebuilt(node: Component) -> Component:
+        if id(node) not in made:
+            new = copy(node)
+            if not isinstance(node, Source):
+                new.inputs = tuple(rebuilt(c) for c in node.inputs)
+            elif sum(s.name == node.name for s in sources.values()) == 1:
+                first = list(takewhile(lambda o: not o.stateful, node.operators))
+                new.operators = node.operators[len(first) :]
+                for operator in first:
+                    done[node.name] = operator.weighted(done[node.name])
+            made[id(node)] = new
+        return made[id(node)]
+
+    return rebuilt(plan), done
+
+
+def _sources(node: Component) -> dict[int, Source]:
+    return {id(node): node} if isinstance(node, Source) else {k: s for c in node.inputs for k, s in _sources(c).items()}

@@ -32,21 +32,35 @@ FILES = 4
 
 def arriving(spark: SparkSession, sf_dir: str, names: list[str], folder: str, batches: int = BATCHES) -> dict[str, DataFrame]:
     """The tables as streams that arrive in ``batches`` micro-batches. A table of fewer files is first written anew; what Spark reads in
-    several parts gets ``FILES`` files for each of them in every micro-batch, so what a task takes in is bounded by a part's size."""
+    several parts gets ``FILES`` files for each of them in every micro-batch. Parts of about the same number of rows are written as they
+    are read, without a shuffle; of others the rows are dealt out by their hashes."""
     out = {}
     for name in names:
         rows = table(spark, sf_dir, name)
         files = len(rows.inputFiles())
         if files < batches:
-            parts = rows.rdd.getNumPartitions()
+            parts, path = rows.rdd.getNumPartitions(), f"{folder}/tables/{name}.parquet"
             files = batches * (FILES * parts if parts > 1 else 1)
-            rows.repartition(files, F.xxhash64(*rows.columns)).write.parquet(f"{folder}/tables/{name}.parquet")
-            out[name] = stream(spark, f"{folder}/tables", name, files // batches)
+            if most := _even(rows, files):
+                rows.write.option("maxRecordsPerFile", most).parquet(path)
+                files = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
+            else:
+                rows.repartition(files, F.xxhash64(*rows.columns)).write.parquet(path)
+            out[name] = stream(spark, f"{folder}/tables", name, -(-files // batches))
         else:
             out[name] = stream(spark, sf_dir, name, max(1, files // batches))
     return out
 
 
+def _even(rows: DataFrame, files: int) -> int | None:
+    """Rows of a file if ``files`` are made of the parts in which Spark reads a table; None for one part or where the largest has more
+    than twice the rows of the mean. Rows are counted from the footers of the table's files."""
+    parts = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    if len(parts) < 2 or max(parts) * rows.rdd.getNumPartitions() > 2 * sum(parts):
+        return None
+    return -(-sum(parts) // files)
+
+
 def _run(plan: Callable[[], Component], how, batches: int = BATCHES) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         made, folder = plan(), _folder(spark)
