@@ -177,6 +177,16 @@ def test_sources_read_what_the_plan_takes(spark):
     assert online.ahead(PLANS["tpch22"](), tables)[1]["customer"].columns == tables["customer"].columns
 
 
+def test_a_component_that_stands_twice_has_one_state(spark, tmp_path):
+    """The lines of the chosen parts are joined once, below the average and beside it."""
+    from weir.streaming.runs import arriving, tables_of
+
+    plan = PLANS["tpch17"]()
+    running = online.run(plan, arriving(spark, SF, sorted(tables_of(plan)), str(tmp_path)), str(tmp_path / "run"))
+    assert running.last == 1 and bag(running.result()) == bag(plan.over({t: table(spark, SF, t) for t in tables_of(plan)}))
+    assert [p.name for p in sorted((tmp_path / "run/state").glob("*-left"))] == ["plan-0-left", "plan-left"]
+
+
 def test_running_texts_keep_no_rows_in_joins(spark, tmp_path):
     """A text's tables, one of them read twice, arrive over batches of unequal number; the result is the batch's and no join has a state."""
     from weir.plans.dialect import sql
