@@ -221,3 +221,17 @@ def test_plans_with_joins_keep_no_rows_in_memory(spark, tmp_path, name):
     assert running.online.last == 1
     assert not any(p["stateOperators"] for p in running.query.recentProgress)
     assert bag(running.online.result()) == bag(plan.over({t: table(spark, SF, t) for t in names}))
+
+
+def test_lines_meet_the_regions_suppliers_before_the_orders(spark):
+    """What tpch5 joins by order, and so shuffles at size, are the lines of the region's suppliers, not all of them."""
+
+    def joins(node):
+        return [node] * isinstance(node, EquiJoin) + [j for c in node.inputs for j in joins(c)]
+
+    tables = {t: table(spark, SF.replace("0.001", "0.01"), t) for t in ("region", "nation", "supplier", "customer", "orders", "lineitem")}
+    (by_order,) = [j for j in joins(PLANS["tpch5"]()) if any("l_orderkey" in pair for pair in j.on)]
+    asian = tables["region"].filter("r_name = 'ASIA'").join(tables["nation"], F.expr("n_regionkey = r_regionkey")).join(tables["supplier"], F.expr("s_nationkey = n_nationkey"))
+    theirs = tables["lineitem"].join(asian, F.expr("l_suppkey = s_suppkey"), "left_semi").count()
+    assert 0 < theirs < tables["lineitem"].count() / 2
+    assert by_order.inputs[0].over(tables).count() == theirs
